@@ -18,25 +18,27 @@ from newsloom.runtime import checkpointed
 INVITATION = r"(?i)[\s(\[]*\b(?:read (?:on|more)|read the (?:full|whole) \w+|continue reading|more (?:at|on) (?:the|our) (?:site|website|page)|full (?:story|text|article)(?: here)?|click here(?: for more)?|see more|learn more|weiterlesen|weiter lesen|mehr (?:dazu|lesen|auf der (?:seite|website))|lesen sie (?:mehr|weiter)|zum artikel|lire (?:la suite|plus)|en savoir plus|la suite(?: sur le site)?|voir plus|leer más|seguir leyendo|sigue leyendo|más (?:información|en (?:la|el) (?:web|sitio|página))|ver más)[\s.…>»→)\]]*$"
 CUT_MARK = r"[\s]*(?:[\[(]?(?:…|\.{3,})[\])]?)$"
 
+#: Characters at the end of a value in which an invitation or a mark is looked for.
+TAIL = 80
+
 #: Patterns, handed to the SQL as parameters.
 PATTERNS = {
     "invitation": INVITATION,
     "cut_mark": CUT_MARK,
-    "end_blanks": r"(?U)\s+$",
     "outer_blanks": r"(?U)^\s+|\s+$",
     "blanks": r"(?U)\s+",
     "some": r"\S",
     "list_start": r"""[\[(]\s*["'\[(]|[\[(]\s*$""",
     "from_list": r"""(?s)([\[(]\s*(?:["'\[(]|$).*)""",
     "fence": "```[a-z]*",
-    "string": r"""(?s)'(?:[^'\\]|\\.|'(?!\s*(?:[,)\]}]|$)))*+'(?=\s*[,)\]}])|"(?:[^"\\]|\\.|"(?!\s*(?:[,)\]}]|$)))*+"(?=\s*[,)\]}])""",
+    "string": r"""(?s)'(?:[^'\\]++|\\.|'(?!\s*(?:[,)\]}]|$)))*+'(?=\s*[,)\]}])|"(?:[^"\\]++|\\.|"(?!\s*(?:[,)\]}]|$)))*+"(?=\s*[,)\]}])""",
     "quote": r"""["']""",
     "comma_end": r",\s*$",
     "not_word": r"(?U)^[^\w$€£]+|[^\w%]+$",
     "number": r"^[$€£]?[0-9]",
     "digits": r"[0-9][0-9.,:]*",
     "capital": r"(?U)^\p{Lu}",
-    "dotted": r"[.]",
+    "plain": "^[a-z]+$",
     "end_mark": r"""[.!?…。！？][”“»’")\]]*$""",
     "opening": r"""(?U)^[\p{Lu}“„«"(¿¡]|^\p{Ll}+\p{Lu}""",
     "short_dotted": r"(?U)^\W*\p{Lu}\p{L}{0,4}[.]$",
@@ -46,17 +48,16 @@ PATTERNS = {
 }
 
 #: One row per value: table_name, record_id, source (feed or model), body without invitation and cut mark, listed.
-VALUES = """
+VALUES = f"""
 WITH raw AS (
-  SELECT 'nasdaq_semi_data_cleaned' AS table_name, article_id AS record_id, summary AS value FROM {articles}
+  SELECT 'nasdaq_semi_data_cleaned' AS table_name, article_id AS record_id, summary AS value FROM {{articles}}
   UNION ALL
-  SELECT 'judged_triplets', triplet_id, output_triplets FROM {triplets}
+  SELECT 'judged_triplets', triplet_id, output_triplets FROM {{triplets}}
 ), bare AS (
-  SELECT table_name, record_id, regexp_replace(regexp_replace(value, :end_blanks, ''), :invitation, '') AS body FROM raw
-), trimmed AS (
-  SELECT table_name, record_id, regexp_replace(body, :cut_mark, '') AS body FROM bare
+  SELECT table_name, record_id, rtrim(concat(left(value, length(value) - {TAIL}), regexp_replace(regexp_replace(right(value, {TAIL}), :invitation, ''), :cut_mark, ''))) AS body
+  FROM (SELECT table_name, record_id, trim(TRAILING ' \\n\\r\\t' FROM value) AS value FROM raw)
 )
-SELECT table_name, record_id, body, coalesce(body RLIKE :list_start, false) AS listed FROM trimmed
+SELECT table_name, record_id, body, coalesce(body RLIKE :list_start, false) AS listed FROM bare
 """
 
 #: Lists: what is left open once fences and complete strings are taken out.
@@ -87,15 +88,16 @@ WORDS = f"""
 WITH split AS (
   SELECT table_name, record_id, body, split(regexp_replace(body, :outer_blanks, ''), :blanks) AS w
   FROM {{values}} WHERE NOT listed AND body RLIKE :some
-), cores AS (
-  SELECT table_name, record_id, body, w, transform(w, x -> if(x RLIKE :short_dotted, x, regexp_replace(x, :not_word, ''))) AS core FROM split
+), marked AS (
+  SELECT table_name, record_id, {OPEN_END} AS open_end, body = upper(body) AS shouted,
+    transform(w, x -> CASE WHEN x RLIKE :plain THEN named_struct('core', x, 'plain', true, 'stop', false, 'opens', false)
+      ELSE named_struct('core', if(x LIKE '%.' AND x RLIKE :short_dotted, x, regexp_replace(x, :not_word, '')), 'plain', false, 'stop', x RLIKE :end_mark, 'opens', x RLIKE :opening) END) AS t
+  FROM split
 )
-SELECT table_name, record_id, {OPEN_END} AS open_end, size(w) AS n,
-  transform(core, x -> lower(x)) AS e,
-  transform(core, x -> CASE WHEN body = upper(body) THEN regexp_replace(lower(x), :digits, '0') WHEN x RLIKE :number THEN regexp_replace(x, :digits, '0') WHEN x RLIKE :capital THEN CASE WHEN x RLIKE :dotted THEN x ELSE 'Aa' END ELSE lower(x) END) AS c,
-  transform(w, x -> x RLIKE :end_mark) AS stop,
-  transform(w, x -> x RLIKE :opening) AS opens
-FROM cores
+SELECT table_name, record_id, open_end, size(t) AS n, transform(t.core, x -> lower(x)) AS e, t.stop AS stop, t.opens AS opens,
+  transform(t, y -> CASE WHEN y.plain THEN y.core WHEN shouted THEN regexp_replace(lower(y.core), :digits, '0') WHEN y.core RLIKE :number THEN regexp_replace(y.core, :digits, '0')
+    WHEN y.core RLIKE :capital THEN if(y.core LIKE '%.%', y.core, 'Aa') ELSE lower(y.core) END) AS c
+FROM marked
 """
 
 #: Runs of five words; runs of three, two and one are their sums.
