@@ -95,7 +95,7 @@ def table(spark: SparkSession, properties=PROPERTIES) -> DataFrame:
 def category(col: str | Column) -> Column:
     """The class that a category spelling stands for; null for unknown ones."""
     pairs = [F.lit(x) for kv in SPELLINGS.items() for x in kv]
-    return F.element_at(F.create_map(*pairs), col)
+    return F.element_at(F.create_map(*pairs), F.col(col) if isinstance(col, str) else col)
 
 
 def relation_key(col: str | Column) -> Column:
