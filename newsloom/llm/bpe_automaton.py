@@ -46,6 +46,8 @@ class BpeAutomaton:
         self.trie: list[dict[int, int]] = [{}]
         self.final: list[int] = [-1]
         for word, i in vocab.items():
+            if len(word) > 1 and self.born[i] < 0:
+                continue  # no path ever bears this label
             node = 0
             for byte in word:
                 nxt = self.trie[node].get(byte)
@@ -60,6 +62,10 @@ class BpeAutomaton:
         self.memory = memory
 
     def _gadget(self, k: int, a: int, b: int, ab: int) -> None:
+        """Merge ``k``. Without a path ``-a-> -b->`` at that time it changes nothing."""
+        made = all(self.born[x] >= 0 or len(self.label[x]) == 1 for x in (a, b))
+        if not made or not self._replay(a, b, k):
+            return
         self.pair[a * self.width + b] = k
         if self.born[ab] < 0:
             self.left[ab], self.right[ab], self.born[ab] = a, b, k
@@ -82,8 +88,8 @@ class BpeAutomaton:
             known = self.arcs[key] = self._replay(x, y)
         return known
 
-    def _replay(self, x: int, y: int) -> bool:
-        left, right, born, pair, width, now = self.left, self.right, self.born, self.pair, self.width, NEVER
+    def _replay(self, x: int, y: int, now: int = NEVER) -> bool:
+        left, right, born, pair, width = self.left, self.right, self.born, self.pair, self.width
         while True:
             if pair.get(x * width + y, NEVER) < now:
                 return False  # the gadget of (x, y) took this arc away
