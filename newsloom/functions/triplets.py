@@ -116,7 +116,7 @@ def exploded(df: DataFrame, tuples: Column, *keep: str) -> DataFrame:
 def json_object(col: str | Column) -> Column:
     """The first { to the last }, else the text without code fences."""
     inside = F.regexp_extract(col, r"(?s)\{.*\}", 0)
-    return F.when(inside != "", inside).otherwise(F.trim(F.regexp_replace(col, "```json|```", "")))
+    return F.when(inside != "", inside).otherwise(F.regexp_replace(F.regexp_replace(col, "```json|```", ""), r"^\s+|\s+$", ""))
 
 
 def fact_edges(edges: DataFrame, period: str = "yyyy-MM") -> DataFrame:

@@ -191,3 +191,30 @@ def textrank(texts: pa.Array) -> pa.Array:
         r = r / r.sum() if r.sum() > 0 else np.full(len(parts), 1 / max(1, len(parts)))
         out.append([{"sentence": s, "weight": float(x)} for s, x in zip(parts, r)])
     return pa.array(out, pa.list_(pa.struct([("sentence", pa.string()), ("weight", pa.float64())])))
+
+
+def clusters(vectors: np.ndarray, at_least: float) -> int:
+    """Clusters of transitively similar rows, by union-find."""
+    n = len(vectors)
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    v = vectors / np.where(length > 0, length, 1)
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(v @ v.T >= at_least, 1))):
+        parent[find(int(j))] = find(int(i))
+    return sum(find(k) == k for k in range(n))
+
+
+def best_coverage(weights: np.ndarray, sources: np.ndarray, targets: np.ndarray) -> float:
+    """``coverage`` of one article whose vectors are at hand."""
+    if not len(sources) or not len(targets):
+        return 0.0
+    unit_rows = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    w = weights / weights.sum() if weights.sum() > 0 else np.full(len(sources), 1 / len(sources))
+    return float((w * ((unit_rows(sources) @ unit_rows(targets).T).max(axis=1) + 1) / 2).sum())

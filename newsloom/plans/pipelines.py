@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,6 @@ from newsloom.operators import articles, graph, linkpred, similarity
 from newsloom.sources import clients
 
 TEMPLATE = "Extract (sub, sub_type, rel, rel_category, obj, obj_type) tuples from this text as a list.\n\n{input_text_}"
-WIDTH = 64
 
 
 def extract(rows: DataFrame, done: DataFrame | None = None, client: Callable | None = None, template: str = TEMPLATE, selected: str = "summary", start: str | None = None, end: str | None = None, tickers: list[str] | None = None) -> DataFrame:
@@ -33,34 +33,39 @@ def extract(rows: DataFrame, done: DataFrame | None = None, client: Callable | N
     return got.select("article_id", "title", "date", F.coalesce(triplets.literal_text(triplets.sanitized("answer")), F.lit("[]")).alias("output_triplets"), "error")
 
 
-@F.arrow_udf(T.ArrayType(T.ArrayType(T.FloatType())))
-def _embedded(texts: pa.Array) -> pa.Array:
-    known: dict[str, list[float]] = {}
-    out = []
-    for row in texts.to_pylist():
-        for s in row or ():
-            if s not in known:
-                known[s] = clients.word_vector(s, WIDTH).tolist()
-        out.append([known[s] for s in row or ()])
-    return pa.array(out, pa.list_(pa.list_(pa.float32())))
+def _measured(at_least: float, embed: Callable[[str], np.ndarray]):
+    @F.arrow_udf(T.StructType([T.StructField("coverage", T.DoubleType()), T.StructField("uniqueness", T.DoubleType())]))
+    def measure(ranked: pa.Array, said: pa.Array) -> pa.Array:
+        known: dict[str, np.ndarray] = {}
 
+        def vectors(texts: list[str]) -> np.ndarray:
+            for t in texts:
+                if t not in known:
+                    known[t] = embed(t)
+            return np.array([known[t] for t in texts]).reshape(len(texts), -1) if texts else np.zeros((0, 1))
 
-def judge(rows: DataFrame, at_least: float = 0.7) -> DataFrame:
-    """The measured metrics of each answer with usable triplets: coverage of the article's ranked sentences, share of
-    clusters among the triplets, ontology score, entropy ratio, and the judge's own scores where its text has them."""
+        out = []
+        for r, s in zip(ranked.to_pylist(), said.to_pylist()):
+            sources, targets = vectors([x["sentence"] for x in r or ()]), vectors(s)
+            cover = similarity.best_coverage(np.array([x["weight"] for x in r or ()]), sources, targets)
+            out.append({"coverage": cover, "uniqueness": similarity.clusters(targets, at_least) / len(s) if s else 0.0})
+        return pa.array(out, pa.struct([("coverage", pa.float64()), ("uniqueness", pa.float64())]))
+
+    return measure
+
+
+def judge(rows: DataFrame, at_least: float = 0.7, embed: Callable[[str], np.ndarray] = clients.word_vector) -> DataFrame:
+    """The measured metrics of each answer with usable triplets: coverage of the article's ranked sentences, clusters
+    per triplet, ontology score, entropy ratio, and the judge's own scores where its text has them.
+
+    The sentences of one article and of its answer stay in one row; only the ontology and the entropies are
+    aggregated over rows.
+    """
     base = rows.withColumn("t", triplets.sanitized("output_triplets")).filter("size(t) > 0").select("triplet_id", "text", "llm_judgments_evaluation", "t")
-    said = base.select("triplet_id", F.explode(F.arrays_zip(triplets.sentences(F.col("t")).alias("s"), _embedded(triplets.sentences(F.col("t"))).alias("v"))).alias("x")).select("triplet_id", F.col("x.v").alias("embedding"))
-    said = said.withColumn("vec", F.monotonically_increasing_id())
-    ranked = base.select("triplet_id", similarity.textrank("text").alias("r"))
-    ranked = ranked.select("triplet_id", F.explode(F.arrays_zip(F.col("r.weight").alias("w"), _embedded(F.col("r.sentence")).alias("v"))).alias("x")).select("triplet_id", F.col("x.w").alias("w"), F.col("x.v").alias("embedding"))
-    ranked = ranked.withColumn("vec", F.monotonically_increasing_id())
-    cover = similarity.coverage(ranked, said, "triplet_id", "vec", "w")
-    unique = similarity.uniqueness(said, "triplet_id", "vec", at_least).select("triplet_id", "uniqueness")
+    own = base.select("triplet_id", _measured(at_least, embed)(similarity.textrank("text"), triplets.sentences(F.col("t"))).alias("m"), *[c.alias(f"llm_{n}") for n, c in scores.extracted("llm_judgments_evaluation").items()])
     onto = ontology.validity(triplets.exploded(base, F.col("t"), "triplet_id"), "triplet_id").select("triplet_id", F.col("score").alias("ontology"))
-    words = base.withColumn("said", F.array_join(triplets.sentences(F.col("t")), " "))
-    ratio = similarity.entropy_ratio(words, "triplet_id", "said", "text")
-    own = base.select("triplet_id", *[c.alias(f"llm_{n}") for n, c in scores.extracted("llm_judgments_evaluation").items()])
-    out = own.join(cover, "triplet_id", "left").join(unique, "triplet_id", "left").join(onto, "triplet_id", "left").join(ratio, "triplet_id", "left")
+    ratio = similarity.entropy_ratio(base.withColumn("said", F.array_join(triplets.sentences(F.col("t")), " ")), "triplet_id", "said", "text")
+    out = own.join(onto, "triplet_id", "left").join(ratio, "triplet_id", "left").withColumns({"coverage": F.col("m.coverage"), "uniqueness": F.col("m.uniqueness")})
     return out.select("triplet_id", *[F.round(c, 6).alias(c) for c in ("coverage", "uniqueness", "ontology", "entropy_ratio")], *[f"llm_{n}" for n in scores.CATEGORIES])
 
 

@@ -185,7 +185,7 @@ def triplet_normalize(spark, d):
     return j.select("triplet_id", F.explode(triplets.parsed(triplets.selected(j, "fallback"))).alias("t")).select("triplet_id", "t.*")
 
 
-@query(r"SELECT triplet_id, CASE WHEN regexp_extract(output_triplets, '(?s)\{.*\}', 0) <> '' THEN regexp_extract(output_triplets, '(?s)\{.*\}', 0) ELSE trim(regexp_replace(output_triplets, '```json|```', '', 'g')) END AS block FROM judged_triplets WHERE output_triplets IS NOT NULL AND (contains(output_triplets, '{') OR contains(output_triplets, '```'))")
+@query(r"SELECT triplet_id, CASE WHEN regexp_extract(output_triplets, '(?s)\{.*\}', 0) <> '' THEN regexp_extract(output_triplets, '(?s)\{.*\}', 0) ELSE regexp_replace(regexp_replace(output_triplets, '```json|```', '', 'g'), '^\s+|\s+$', '', 'g') END AS block FROM judged_triplets WHERE output_triplets IS NOT NULL AND (contains(output_triplets, '{') OR contains(output_triplets, '```'))")
 def judge_json_extract(spark, d):
     j = table(spark, d, "judged_triplets").filter(F.col("output_triplets").contains("{") | F.col("output_triplets").contains("```"))
     return j.select("triplet_id", triplets.json_object("output_triplets").alias("block"))
