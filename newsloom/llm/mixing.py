@@ -21,10 +21,10 @@ SLICES = 1024
 
 
 def sized(docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """doc_id, source, size in tokens, for documents with a source and at least one token."""
-    return docs.filter(F.col("source").isNotNull() & F.col("text").isNotNull()).select(
-        "doc_id", "source", token_count("text", tokenizer, folder).alias("size")
-    ).filter("size > 0")
+    """doc_id, source, size in tokens, for documents with a source and at least one token. Counted and written once:
+    a filter on the count before that would have every text encoded a second time."""
+    counted = docs.filter(F.col("source").isNotNull() & F.col("text").isNotNull()).select("doc_id", "source", token_count("text", tokenizer, folder).alias("size"))
+    return checkpointed(counted).filter("size > 0")
 
 
 def _running(df: DataFrame, by: list[str], order: list, size: str, out: str) -> DataFrame:
@@ -47,7 +47,7 @@ def finish_times(docs: DataFrame, targets: DataFrame, seed: int = 0, tokenizer:
     no tokens, and theirs is null. Rows of ``targets`` with a null source, share or cap, or none above 0,
     take no part.
     """
-    docs = checkpointed(sized(docs, tokenizer, folder))
+    docs = sized(docs, tokenizer, folder)
     goals = targets.filter("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy("source").agg(
         F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")
     )
