@@ -19,7 +19,7 @@ INVITATION = r"(?i)[\s(\[]*\b(?:read (?:on|more)|read the (?:full|whole) \w+|con
 CUT_MARK = r"[\s]*(?:[\[(]?(?:…|\.{3,})[\])]?)$"
 
 #: Characters at the end of a value in which an invitation or a mark is looked for.
-TAIL = 80
+TAIL = 48
 
 #: Patterns, handed to the SQL as parameters.
 PATTERNS = {
@@ -54,10 +54,10 @@ WITH raw AS (
   UNION ALL
   SELECT 'judged_triplets', triplet_id, output_triplets FROM {{triplets}}
 ), bare AS (
-  SELECT table_name, record_id, rtrim(concat(left(value, length(value) - {TAIL}), regexp_replace(regexp_replace(right(value, {TAIL}), :invitation, ''), :cut_mark, ''))) AS body
+  SELECT table_name, record_id, coalesce(value RLIKE :list_start, false) AS listed, rtrim(concat(left(value, length(value) - {TAIL}), regexp_replace(regexp_replace(right(value, {TAIL}), :invitation, ''), :cut_mark, ''))) AS body
   FROM (SELECT table_name, record_id, trim(TRAILING ' \\n\\r\\t' FROM value) AS value FROM raw)
 )
-SELECT table_name, record_id, body, coalesce(body RLIKE :list_start, false) AS listed FROM bare
+SELECT table_name, record_id, body, listed FROM bare
 """
 
 #: Lists: what is left open once fences and complete strings are taken out.
