@@ -154,12 +154,15 @@ def sentence_ranks(tokens: list[list[str]], damping: float = 0.85, rounds: int =
     """PageRank of sentences that are linked by shared words over the logarithms of their lengths; sentences without
     any link get 0."""
     n = len(tokens)
-    w = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i):
-            size = np.log10(max(1, len(tokens[i]))) + np.log10(max(1, len(tokens[j])))
-            common = len(set(tokens[i]) & set(tokens[j]))
-            w[i, j] = w[j, i] = common / size if size > 0 else 0.0
+    number: dict[str, int] = {}
+    at = [(i, number.setdefault(w, len(number))) for i, ws in enumerate(tokens) for w in set(ws)]
+    has = np.zeros((n, max(1, len(number))))
+    if at:
+        has[tuple(np.array(at).T)] = 1
+    size = np.log10(np.maximum(1, [len(ws) for ws in tokens]))
+    both = size[:, None] + size[None, :]
+    w = np.divide(has @ has.T, both, out=np.zeros((n, n)), where=both > 0)
+    np.fill_diagonal(w, 0)
     linked = w.sum(axis=1) > 0
     if not linked.any():
         return np.zeros(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import urllib.request
@@ -121,6 +122,7 @@ def asked(df: DataFrame, prompt: str, client: Callable[[str], Answer]) -> DataFr
     return df.mapInArrow(run, f"{fields}, {ANSWER}")
 
 
+@functools.lru_cache(maxsize=100_000)
 def hashed_vector(text: str, width: int = 64) -> np.ndarray:
     """A unit vector that depends on the text alone; a stand-in where there is no sentence model."""
     v = np.random.default_rng(int(hashlib.md5(text.encode()).hexdigest(), 16) % 2**32).uniform(-1, 1, width)
