@@ -41,7 +41,7 @@ REFUSALS = re.compile(
             r"\boutside\s+(?:my|our|the|what|of)\b|\bbeyond\s+(?:my|our|the\s+scope|what)\b|\bagainst\s+(?:my|our|the)\s+(?:policy|policies|rules|guidelines)\b|\bto\s+stay\s+within\s+policy\b|\bhas\s+to\s+be\s+handled\s+by\b|\bmust\s+be\s+handled\s+by\b",
             r"\bno\s+(?:extraction|answer|analysis|output|triplets?|relations?|data|response)\s+(?:will|can|could|may)\s+be\b|\bnot\s+be\s+(?:appropriate|possible|right|proper)\b|\b(?:switched|turned)\s+off\b|\bhas\s+been\s+(?:disabled|blocked|restricted)\b|\bnot\s+(?:available|supported|enabled|offered)\b",
             r"\b(?:sorry|apologies|apologi[sz]e|regret|unfortunately)\b.{0,80}\b(?:not|cannot|can['’]?t|won['’]t|unable|decline|pass|outside|refuse)\b",
-            r"\b(?:leider|bedau\w+|tut\s+mir\s+leid|entschuldig\w+)\b|\b(?:kann|darf|möchte|werde|können|dürfen|will)\b.{0,60}\b(?:nicht|keine?n?)\b|\b(?:ablehnen|verweiger\w+|lehne\b.{0,60}\bab)\b|\bnicht\s+(?:möglich|erlaubt|gestattet|vorgesehen|zulässig)\b|außerhalb\s+(?:meiner|unserer|des)\b",
+            r"\b(?:leider|bedau\w+|tut\s+mir\s+leid|entschuldig\w+)\b|\b(?:kann|darf|möchte|werde|können|dürfen|will)\b.{0,60}\b(?:nicht|keine?n?)\b|\bVerständnis\b.{0,60}\b(?:nicht|nichts|keine?n?)\b|\bnichts\s+extrahier|\b(?:ablehnen|verweiger\w+|lehne\b.{0,60}\bab)\b|\bnicht\s+(?:möglich|erlaubt|gestattet|vorgesehen|zulässig)\b|außerhalb\s+(?:meiner|unserer|des)\b",
             r"\b(?:désolée?|regrette|regrets|malheureusement|pardon|navrée?)\b|\bne\s+(?:peux|peut|pouvons|puis|suis|sommes|souhaite|veux|préfère|fournirai|traiterai)\b.{0,20}\bpas\b|\bje\s+préfère\s+ne\s+pas\b|\bje\s+(?:refuse|décline)\b|\bimpossible\s+d|\bpas\s+(?:autorisé|en\s+mesure|possible|permis)\w*\b|\bn['’](?:est|ai|y)\b.{0,20}\bpas\b.{0,30}\b(?:possible|autorisé|permis|droit)\w*",
             r"\b(?:lo\s+siento|lamento|lamentablemente|disculp\w+|perdón|desafortunadamente)\b|\bno\s+(?:puedo|podemos|debo|me\s+es\s+posible|es\s+posible|estoy\s+autorizad\w|tengo\s+permi\w+|voy\s+a|está\s+permitido|quiero|deseo|se\s+puede|me\s+permiten)\b|\bprefiero\s+no\b|\bme\s+niego\b|\bdebo\s+(?:rechazar|declinar)\b",
             r"抱歉|对不起|對不起|很遗憾|遗憾|无法|不能(?:提供|处理|回答|完成|提取|协助)|拒绝|不便|不方便|申し訳|恐れ入り|できません|できかね|いたしかね|お断り|控え|ご遠慮|対応して(?:い|お)|お答えでき",
@@ -256,7 +256,9 @@ def defect(answer: str | None, source: str | None, langs: LabelLanguages | None
         if answer.rstrip().endswith(":") and len(said) < 20:
             return "empty"  # a lead-in and nothing after it
         mine, theirs = language(answer), language(source) or (langs.main if langs else None)
-        return "other_language" if mine and theirs and mine != theirs else "copy"
+        if mine and theirs and mine != theirs:
+            return "other_language"
+        return "refusal" if have else "copy"
     long = [x for t in filled for x in t if len(x.split()) >= 7]
     if long and len(long) >= 0.5 * len(filled):
         said, have = WORD.findall(" ".join(long).lower()), WORD.findall((source or "").lower())
@@ -289,8 +291,8 @@ def answer_defects(pairs: DataFrame, id_col: str = "triplet_id", answer_col: str
     """``id_col`` and ``defect`` of every row with a defective answer.
 
     Null and blank answers are 'empty'. Where the input is null, blank or of no known language, tuples can
-    not be in another one, and prose is held against the commonest language. Prose that is no refusal and
-    in the input's language gives the input back, so it is a 'copy' however freely worded. Repeated rows come out each. No shuffle beside
+    not be in another one, and prose is held against the commonest language and else taken for a 'copy'.
+    Prose in the input's language but not in its wording declines, in whatever words: 'refusal'. Repeated rows come out each. No shuffle beside
     the counts of labels, of which at most ``most`` go to the driver.
     """
     langs = LabelLanguages(label_sample(pairs, answer_col, source_col, most))
