@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +73,9 @@ def prompt_text(df: DataFrame, selected: str = "summary") -> Column:
 
 def rendered(template: str, **values: Column) -> Column:
     """A prompt: ``{name}`` is replaced by the column, ``{{`` and ``}}`` stand for single braces."""
-    out = F.lit(template.replace("{{", "\x01").replace("}}", "\x02"))
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
-    return F.translate(out, "\x01\x02", "{}")
-
+    parts = []
+    for literal, name, _, _ in string.Formatter().parse(template):
+        parts.append(F.lit(literal))
+        if name is not None:
+            parts.append(F.coalesce(values[name], F.lit("")))
+    return F.concat(*parts)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions import instants, ontology, scores, triplets
+from newsloom.functions import instants, ontology, prompts, scores, triplets
 from newsloom.operators import articles, gat, graph, linkpred, similarity
 from newsloom.plans import pipelines
 from newsloom.runtime import table
@@ -578,6 +578,36 @@ def gat_train(spark, d):
     return gat.experiments(e, [c for c in gat.grid(epochs=5) if c[0] in ("bpr_edge", "infonce_plain")], k=3).drop("weights")
 
 
+@query()
+def gat_edge_scores(spark, d):
+    names = table(spark, d, "entities").select(F.col("entity_name").alias("sub"))
+    e = _edges(spark, d).join(names, "sub", "left_semi").join(names.withColumnRenamed("sub", "obj"), "obj", "left_semi").withColumn("period", F.substring("period", 1, 4))
+    configs = [c for c in gat.grid(epochs=2) if c[0] == "bpr_plain"]
+    return gat.scored_edges(e, gat.trained_or_loaded(e, configs, None, k=3), configs)
+
+
+# ---------------------------------------------------------------- prompts and flags
+
+
+@query("SELECT triplet_id, md5('Judge: ' || coalesce(output_triplets, '') || ' of ' || coalesce(text, '')) AS coverage, md5('Unique? {' || coalesce(output_triplets, '') || '}') AS uniqueness FROM judged_triplets")
+def judge_prompts(spark, d):
+    j = table(spark, d, "judged_triplets")
+    p = prompts.judge_prompts({"coverage": "Judge: {triplets_} of {article_text_}", "uniqueness": "Unique? {{{triplets_}}}", "consistency": "{triplets_}", "semantic_validity": "{triplets_}"}, F.col("text"), F.col("output_triplets"))
+    return j.select("triplet_id", F.md5(p["coverage"]).alias("coverage"), F.md5(p["uniqueness"]).alias("uniqueness"))
+
+
+@query("SELECT triplet_id, coverage >= 0.75 AS covered, uniqueness >= 0.75 AS is_unique, semantic_validity >= 0.75 AND (semantic_validity + consistency) / 2 >= 0.75 AS valid FROM extracted_scores WHERE coverage IS NOT NULL AND uniqueness IS NOT NULL AND semantic_validity IS NOT NULL AND consistency IS NOT NULL")
+def alignment_flags(spark, d):
+    s = table(spark, d, "extracted_scores").dropna().withColumns({"llm_" + c: F.col(c) for c in scores.CATEGORIES}).withColumns({"ontology": F.col("semantic_validity"), "entropy_ratio": F.lit(0.5)})
+    return pipelines.agreement(s).select("triplet_id", "covered", F.col("unique").alias("is_unique"), "valid")
+
+
+@query("SELECT ticker, unnest(generate_series(min(make_timestamp(epoch_us(loaded_at)))::DATE, max(make_timestamp(epoch_us(loaded_at)))::DATE, INTERVAL 1 DAY))::DATE::VARCHAR AS day FROM nasdaq_semi_data_cleaned WHERE ticker IS NOT NULL GROUP BY ticker")
+def ticker_days(spark, d):
+    a = _articles(spark, d).filter("ticker IS NOT NULL").groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    return a.select("ticker", F.explode(prompts.days(F.col("a"), F.col("b"))).alias("day")).withColumn("day", F.col("day").cast("string"))
+
+
 # ---------------------------------------------------------------- whole stages
 
 

@@ -68,3 +68,9 @@ def graph_page(nodes: DataFrame, edges: DataFrame, title: str = "graph", most: i
     types = {r["id"]: r["type"] for r in named}
     data = {"nodes": [{"id": x, "type": types.get(x, "UNK")} for x in sorted(ends)], "edges": [{k: r.get(k) for k in ("source", "target", "label", "score")} for r in rows]}
     return PAGE % (html.escape(title), json.dumps(data, default=str).replace("</", "<\\/"))
+
+
+def monthly_pages(nodes: DataFrame, edges: DataFrame, most: int = 2000) -> dict[str, str]:
+    """A page per period of ``edges`` (by their column time)."""
+    periods = [r[0] for r in edges.select("time").distinct().orderBy("time").collect()]
+    return {p: graph_page(nodes, edges.filter(F.col("time") == p), p, most) for p in periods}

@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from newsloom import schemas
+from newsloom.functions import ontology, prompts
 from newsloom.operators import articles
 from newsloom.plans import pipelines
 from newsloom.sources import clients, files, sinks
@@ -93,3 +94,21 @@ def test_stream(spark, tmp_path):
     extraction.run(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     assert extraction.monthly_counts(extraction.arriving(spark, str(src))).isStreaming
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([(1, '{"Explanation": "e", "Revised_Triplets": "[1]"}'), (2, "no json"), (3, '{"Explanation": "e"}'), (4, 'x {"Revised_Triplets": "oops"} y'), (5, "{broken}"), (6, None)], "i int, t string")
+    text, error = prompts.revision(F.col("t"))
+    got = {r.i: (r.a, r.b) for r in df.select("i", text.alias("a"), error.alias("b")).collect()}
+    assert got == {1: ("[1]", None), 2: (None, "JSON Error on Reprompt"), 3: (None, "Error: Missing 'Revised_Triplets' key"), 4: (None, "Error: Corrupt triplets string"), 5: (None, "JSON Error on Reprompt"), 6: (None, "Error: Missing 'Revised_Triplets' key")}
+    p = prompts.feedback_prompt("{is_unique} {{x}} {triplets_}", F.lit("a"), F.lit("t"), F.lit("j"), {f: F.lit(True) for f in prompts.FLAGS})
+    assert spark.range(1).select(p).first()[0] == "True {x} t"
+    assert spark.range(1).select(prompts.file_name(F.lit("a b/ç.csv"))).first()[0] == "a_b__.csv"
+
+
+def test_monthly_pages_and_ontology_file(spark, tmp_path):
+    n = spark.createDataFrame([("a", "T")], "id string, type string")
+    e = spark.createDataFrame([("a", "b", "r", "2024-01"), ("a", "c", "r", "2024-02")], "source string, target string, label string, time string")
+    assert set(sinks.monthly_pages(n, e)) == {"2024-01", "2024-02"}
+    (tmp_path / "o.rdf").write_text('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#"><owl:ObjectProperty rdf:about="http://x/o#has"><rdfs:domain rdf:resource="#A"/><rdfs:domain rdf:resource="#B"/></owl:ObjectProperty></rdf:RDF>')
+    assert ontology.load(str(tmp_path / "o.rdf")) == [("has", ["A", "B"], [])]

@@ -149,3 +149,14 @@ def test_experiments_in_spark(spark):
     df = spark.createDataFrame(frame(20, 2))
     got = gat.experiments(df, gat.grid(epochs=1)[:2], k=2, hidden=4).collect()
     assert len(got) == 2 and all(r.weights for r in got)
+
+
+def test_scores_by_kept_weights(spark):
+    df = spark.createDataFrame(frame(20, 3))
+    configs = gat.grid(epochs=1)[:2]
+    kept = gat.trained_or_loaded(df, configs, None, k=2, hidden=4)
+    rows = kept.collect()
+    kept = spark.createDataFrame(rows, kept.schema)
+    got = gat.scored_edges(df, gat.trained_or_loaded(df, configs, kept, train_mode=False), configs, hidden=4).collect()
+    pairs = {(r.period, r.sub, r.obj) for r in df.collect()}
+    assert len(got) == 2 * sum(p[0] > "2024-01" for p in pairs) and all(np.isfinite(r.score) for r in got)
