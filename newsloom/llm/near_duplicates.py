@@ -71,8 +71,9 @@ class Sketcher:
             out.append(h)
         return out
 
-    def registers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the texts with a run of ``SHINGLE`` words, and their register values (uint32)."""
+    def shingles(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Positions of the texts with a run of ``SHINGLE`` words, the hashes of all their runs one after another, and
+        where each text's runs start."""
         parts, sizes, kept = [], [], []
         for k, t in enumerate(texts):
             w = self.ids(t)
@@ -81,16 +82,21 @@ class Sketcher:
                 parts += w
                 sizes.append(len(w))
         if not kept:
-            return np.zeros(0, np.int64), np.zeros((0, REGISTERS), np.uint32)
+            return kept, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         w = np.array(parts, np.uint64)
         n = np.array(sizes)
         ends = np.cumsum(n)
         h = w[:-2] * np.uint64(0x9DDFEA08EB382D69) + w[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + w[2:] * np.uint64(0x165667B19E3779F9)
         inside = np.ones(len(w), bool)
         inside[ends - 1] = inside[ends - 2] = False  # runs that would reach into the next text
-        h = _mix(h[inside[:-2]])
-        starts = np.concatenate([[0], np.cumsum(n - (SHINGLE - 1))[:-1]])
+        return kept, _mix(h[inside[:-2]]), np.concatenate([[0], np.cumsum(n - (SHINGLE - 1))[:-1]])
+
+    def registers(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
+        """Positions of the texts with a run of ``SHINGLE`` words, and their register values."""
+        kept, h, starts = self.shingles(texts)
         out = np.empty((len(kept), REGISTERS), np.uint32)
+        if not kept:
+            return kept, out
         log_base = math.log(BASE)
         scratch = np.empty_like(h)
         for r in range(REGISTERS):
@@ -99,7 +105,7 @@ class Sketcher:
             least = np.minimum.reduceat(scratch, starts)
             x = -np.log1p(-((least >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53)  # exponential, rate 1
             out[:, r] = np.clip(np.floor(1 - np.log(x) / log_base), 0, 2**16 - 1).astype(np.uint32)
-        return np.array(kept), out
+        return kept, out
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +123,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.packbits((regs[:, REGISTERS - BITS :] & 1).astype(np.uint8), axis=1).view(np.int64)
             offsets = pa.array(np.arange(len(kept) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(kept + at)), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64))), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())],
+                [ids.take(pa.array([k + at for k in kept])), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64))), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())],
                 ["id", "keys", "s0", "s1"],
             )
 
@@ -139,30 +145,40 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
-def similarity_udf(least: float):
+def verified(least: float):
+    """a, b and both texts -> a, b, similarity of the pairs with at least ``least``.
+
+    Sorted hashes of runs tell the pairs that are clearly below; the rest is compared run by run.
+    """
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher()
         for batch in batches:
-            sets: dict[int, set] = {}
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = batch.column(2), batch.column(3)
+            text: dict[int, str] = {}
+            for ids, column in ((a, 2), (b, 3)):
+                first = {i: k for k, i in enumerate(ids)}
+                text |= zip(first, batch.column(column).take(pa.array(first.values(), pa.int64())).to_pylist())
+            names = list(text)
+            kept, h, starts = sketcher.shingles([text[i] for i in names])
+            runs = {names[k]: np.unique(x) for k, x in zip(kept, np.split(h, starts[1:]))}
             keep, found = [], []
-
-            def of(i: int, text) -> set:
-                if i not in sets:
-                    if len(sets) > 2000:
-                        sets.clear()
-                    w = words(text.as_py())
-                    sets[i] = {*zip(w, w[1:], w[2:])}
-                return sets[i]
-
-            for k in range(len(a)):
-                x, y = of(a[k], ta[k]), of(b[k], tb[k])
-                common = len(x & y)
-                either = len(x) + len(y) - common
-                if either and common >= least * either:
+            for k, (i, j) in enumerate(zip(a, b)):
+                x, y = runs.get(i), runs.get(j)
+                if x is None or y is None:
+                    continue
+                both = np.concatenate([x, y])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if common < (least - 0.01) * (len(x) + len(y) - common):
+                    continue
+                u, v = ({*zip(w, w[1:], w[2:])} for w in (words(text[i]), words(text[j])))
+                common = len(u & v)
+                if common >= least * (len(u) + len(v) - common):
                     keep.append(k)
-                    found.append(common / either)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+                    found.append(common / (len(u) + len(v) - common))
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
     return verify
 
@@ -181,7 +197,7 @@ def class_pairs(docs: DataFrame, threshold: float = 0.5, id_col: str = "article_
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     texts = rows.join(sized_broadcast(needed, n, TEXT_ROWS), "id", "left_semi").dropDuplicates(["id"])
     both = met.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(similarity_udf(threshold), "a long, b long, similarity double")
+    return both.select("a", "b", "ta", "tb").mapInArrow(verified(threshold), "a long, b long, similarity double")
 
 
 def copy_members(docs: DataFrame, id_col: str = "article_id", text_col: str = "text") -> DataFrame:
