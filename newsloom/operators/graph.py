@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.runtime import checkpointed
+
 UNK = "UNK"
 
 
-def numbered(values: DataFrame, col: str, start: int = 0, slices: int = 64) -> DataFrame:
-    """Distinct values of ``col`` with dense ids in sorted order.
+def numbered(values: DataFrame, col: str, start: int = 0) -> DataFrame:
+    """Distinct non-null values of ``col`` with dense ids in sorted order.
 
-    Values are cut into sorted slices by their quantiles and numbered slice by slice, so that no task sorts all.
+    Spark cuts the values into sorted ranges of about equal size; written once, each row knows its range, and ids are
+    the place within the range plus the sizes of the ranges before it. No task sorts more than a range.
     """
     v = values.select(col).filter(F.col(col).isNotNull()).distinct()
-    n = F.lit(start - 1)
-    cut = v.withColumn("_p", F.substring(F.col(col), 1, 2))
-    sizes = cut.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
-    inside = Window.partitionBy("_p").orderBy(col)
-    return cut.join(offsets, "_p").select(col, (F.row_number().over(inside) + F.col("_b") + n).cast("long").alias("id"))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = checkpointed(v.repartitionByRange(parts, col).withColumn("_range", F.spark_partition_id()))
+    return _numbers(v, [], "_range", col, start)
+
+
+def _numbers(rows: DataFrame, by: list[str], part: str, col: str, start: int = 0) -> DataFrame:
+    """Rows with a dense ``id`` in each ``by``, in the order of ``part`` and ``col``, counted part by part."""
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*by, part).agg(F.count("*").alias("_n")).select(*by, part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, part).orderBy(col)
+    return rows.join(offsets, [*by, part]).select(*by, col, (F.row_number().over(inside) + F.col("_before") + F.lit(start - 1)).cast("long").alias("id"))
 
 
 def vocabulary(edges: DataFrame, *cols: str, start: int = 0, unk: bool = True) -> DataFrame:
@@ -113,12 +120,12 @@ def negatives(edges: DataFrame, k: int = 50, tries: int = 3) -> DataFrame:
     """period, pos, src, dst, neg, n: for each collapsed edge up to ``k`` nodes of its period that are no neighbour of
     its source in either direction.
 
-    Each positive draws ``tries`` * k nodes by number, so candidates are k times the positives and never positives
+    Nodes are numbered in the order of a slice of their md5, slice by slice. Each positive draws ``tries`` * k nodes by number, so candidates are k times the positives and never positives
     times nodes. A positive with no valid draw has no negatives; its id stays on all others.
     """
     pairs = edges.groupBy("period", "sub", "obj").agg(F.min("edge_id").alias("pos"))
     nodes = pairs.select("period", F.explode(F.array("sub", "obj")).alias("node")).distinct()
-    nodes = nodes.withColumn("no", F.row_number().over(Window.partitionBy("period").orderBy("node")) - 1)
+    nodes = _numbers(nodes.withColumn("_slice", F.substring(F.md5("node"), 1, 3)), ["period"], "_slice", "node").withColumnRenamed("id", "no")
     sizes = nodes.groupBy("period").agg(F.count("*").alias("n"))
     drawn = pairs.join(F.broadcast(sizes), "period").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(tries * k - 1))))
     drawn = drawn.withColumn("no", draw(F.col("pos"), F.col("j"), F.col("n"))).join(nodes, ["period", "no"])

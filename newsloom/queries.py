@@ -423,7 +423,7 @@ def seen_unseen_edges(spark, d):
 
 NEG = 5
 _NEGS = f"""q AS (SELECT period, sub, obj, min(edge_id) AS pos FROM e GROUP BY period, sub, obj),
- nd AS (SELECT period, node, row_number() OVER (PARTITION BY period ORDER BY node) - 1 AS no, count(*) OVER (PARTITION BY period) AS n FROM (SELECT period, sub AS node FROM q UNION SELECT period, obj FROM q)),
+ nd AS (SELECT period, node, row_number() OVER (PARTITION BY period ORDER BY substr(md5(node), 1, 3), node) - 1 AS no, count(*) OVER (PARTITION BY period) AS n FROM (SELECT period, sub AS node FROM q UNION SELECT period, obj FROM q)),
  sz AS (SELECT DISTINCT period, n FROM nd),
  dr AS (SELECT q.period, q.pos, q.sub, q.obj, j, (q.pos * 48271 + j * 16807 + 12345) % 2147483647 % sz.n AS no FROM q JOIN sz USING (period), (SELECT unnest(range(0, {3 * NEG})) AS j)),
  cd AS (SELECT dr.*, nd.node FROM dr JOIN nd ON dr.period = nd.period AND dr.no = nd.no WHERE nd.node <> dr.sub AND NOT EXISTS (SELECT 1 FROM q l WHERE l.period = dr.period AND (l.sub = dr.sub AND l.obj = nd.node OR l.obj = dr.sub AND l.sub = nd.node))),
