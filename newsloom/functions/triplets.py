@@ -120,7 +120,11 @@ def json_object(col: str | Column) -> Column:
 
 
 def fact_edges(edges: DataFrame, period: str = "yyyy-MM") -> DataFrame:
-    """The edge table: complete rows once each, missing labels UNK, missing or zero weights 1, with their period."""
-    named = edges.filter("sub IS NOT NULL AND rel IS NOT NULL AND obj IS NOT NULL AND date IS NOT NULL").distinct()
+    """The edge table: complete rows once each, missing labels UNK, missing or zero weights 1, with their period.
+
+    An edge is known by its id, subject, relation and object, so that repeated rows fall together without a shuffle of
+    columns that no one asks for.
+    """
+    named = edges.filter("sub IS NOT NULL AND rel IS NOT NULL AND obj IS NOT NULL AND date IS NOT NULL").dropDuplicates(["edge_id", "sub", "rel", "obj"])
     unk = {c: F.coalesce(c, F.lit("UNK")) for c in ("sub_type", "rel_category", "obj_type")}
     return named.withColumns({**unk, "w": F.coalesce(F.nullif("w", F.lit(0.0)), F.lit(1.0)), "period": F.date_format("date", period)})

@@ -104,7 +104,8 @@ def known_nodes(edges: DataFrame, size: int = 3) -> DataFrame:
 
 def seen_edges(edges: DataFrame, size: int = 3) -> DataFrame:
     """Distinct pairs of each period from the second on, with ``seen``: both ends are known from its window."""
-    pairs = edges.join(windows(edges, size).select("period").distinct(), "period", "left_semi").select("period", "sub", "obj").distinct()
+    first = edges.agg(F.min("period")).scalar()
+    pairs = edges.filter(F.col("period") > first).select("period", "sub", "obj").distinct()
     known = known_nodes(edges, size)
     a = known.select("period", F.col("node").alias("sub"), F.lit(True).alias("_s"))
     b = known.select("period", F.col("node").alias("obj"), F.lit(True).alias("_o"))
@@ -116,6 +117,11 @@ def draw(pos: Column, j: Column, n: Column) -> Column:
     return (pos * F.lit(48271) + j * F.lit(16807) + F.lit(12345)) % F.lit(2147483647) % n
 
 
+def positives(edges: DataFrame) -> DataFrame:
+    """period, sub, obj, pos: the collapsed edges, each with the smallest id of its parallel ones."""
+    return edges.groupBy("period", "sub", "obj").agg(F.min("edge_id").alias("pos"))
+
+
 def negatives(edges: DataFrame, k: int = 50, tries: int = 3) -> DataFrame:
     """period, pos, src, dst, neg, n: for each collapsed edge up to ``k`` nodes of its period that are no neighbour of
     its source in either direction.
@@ -123,7 +129,7 @@ def negatives(edges: DataFrame, k: int = 50, tries: int = 3) -> DataFrame:
     Nodes are numbered in the order of a slice of their md5, slice by slice. Each positive draws ``tries`` * k nodes by number, so candidates are k times the positives and never positives
     times nodes. A positive with no valid draw has no negatives; its id stays on all others.
     """
-    pairs = edges.groupBy("period", "sub", "obj").agg(F.min("edge_id").alias("pos"))
+    pairs = positives(edges)
     nodes = pairs.select("period", F.explode(F.array("sub", "obj")).alias("node")).distinct()
     nodes = _numbers(nodes.withColumn("_slice", F.substring(F.md5("node"), 1, 3)), ["period"], "_slice", "node").withColumnRenamed("id", "no")
     sizes = nodes.groupBy("period").agg(F.count("*").alias("n"))
@@ -137,9 +143,8 @@ def negatives(edges: DataFrame, k: int = 50, tries: int = 3) -> DataFrame:
 
 def report(edges: DataFrame) -> DataFrame:
     """Nodes, edges and periods of an edge table."""
-    nodes = edges.select(F.explode(F.array("sub", "obj")).alias("node")).agg(F.count_distinct("node").alias("n_nodes"))
-    rest = edges.agg(F.count("*").alias("n_edges"), F.count_distinct("period").alias("n_periods"))
-    return nodes.select("n_nodes", F.lit(1).alias("_k")).join(rest.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    nodes = edges.select(F.explode(F.array("sub", "obj")).alias("node")).agg(F.count_distinct("node")).scalar()
+    return edges.agg(F.count("*").alias("n_edges"), F.count_distinct("period").alias("n_periods")).select(nodes.alias("n_nodes"), "n_edges", "n_periods")
 
 
 def viz_nodes(edges: DataFrame) -> DataFrame:

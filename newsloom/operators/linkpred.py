@@ -10,14 +10,14 @@ from newsloom.operators.similarity import dot
 HITS = (1, 3, 10)
 
 
-def scored(negatives: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """period, pos, nth, s_pos, s_neg for each negative; ``embeddings`` has node and vector.
+def scored(positives: DataFrame, negatives: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """period, pos, nth, s_pos, s_neg for each negative of a positive; ``embeddings`` has node and vector.
 
-    Vectors are joined to the ends of distinct pairs, and only scores go on.
+    Positives are scored by themselves, once each, and only scores go on.
     """
     e = embeddings.select("node", "vector")
     of = lambda col, out: e.select(F.col("node").alias(col), F.col("vector").alias(out))
-    pos = negatives.select("period", "pos", "sub", "obj").distinct().join(of("sub", "vs"), "sub").join(of("obj", "vo"), "obj").select("period", "pos", dot(F.col("vs"), F.col("vo")).alias("s_pos"))
+    pos = positives.join(of("sub", "vs"), "sub").join(of("obj", "vo"), "obj").select("period", "pos", dot(F.col("vs"), F.col("vo")).alias("s_pos"))
     neg = negatives.join(of("sub", "vs"), "sub").join(of("neg", "vn"), "neg").select("period", "pos", "nth", dot(F.col("vs"), F.col("vn")).alias("s_neg"))
     return neg.join(pos, ["period", "pos"])
 

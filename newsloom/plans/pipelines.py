@@ -78,6 +78,6 @@ def agreement(metrics: DataFrame, threshold: float = 0.75, most_entropy: float =
 
 def link_prediction(edges: DataFrame, vectors: DataFrame, k: int = 50) -> DataFrame:
     """Rolling-window link prediction by given vectors: per period the metrics of all, seen and unseen positives."""
-    pos = edges.groupBy("period", "sub", "obj").agg(F.min("edge_id").alias("pos"))
-    ranked = linkpred.ranks(linkpred.scored(graph.negatives(edges, k), vectors))
+    pos = graph.positives(edges)
+    ranked = linkpred.ranks(linkpred.scored(pos, graph.negatives(edges, k), vectors))
     return linkpred.metrics(ranked.join(pos, ["period", "pos"]).join(graph.seen_edges(edges), ["period", "sub", "obj"]))

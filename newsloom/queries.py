@@ -446,7 +446,8 @@ _SC = f"""{_NEGS}, ev AS (SELECT n.value AS node, b.embedding::DOUBLE[] AS v, b.
 
 
 def _scores(spark, d) -> DataFrame:
-    return linkpred.scored(graph.negatives(_edges(spark, d), NEG), _vectors(spark, d))
+    e = _edges(spark, d)
+    return linkpred.scored(graph.positives(e), graph.negatives(e, NEG), _vectors(spark, d))
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -472,7 +473,7 @@ def pos_rank(spark, d):
 
 def _metrics(spark, d) -> DataFrame:
     e = _edges(spark, d)
-    pos = e.groupBy("period", "sub", "obj").agg(F.min("edge_id").alias("pos"))
+    pos = graph.positives(e)
     ranked = linkpred.ranks(_settled(_scores(spark, d))).join(pos, ["period", "pos"]).join(graph.seen_edges(e), ["period", "sub", "obj"])
     return linkpred.metrics(ranked)
 
@@ -504,7 +505,7 @@ def linkpred_metrics_avg(spark, d):
 @query(f"WITH {_E}, {_MT}, by_half AS (SELECT CASE WHEN period < '2022-07' THEN 'early' ELSE 'late' END AS model, round(avg(1.0 / rank), 6) AS mrr FROM ms GROUP BY 1) SELECT model, mrr, row_number() OVER (ORDER BY mrr DESC, model)::INT AS position FROM by_half")
 def leaderboard(spark, d):
     e = _edges(spark, d)
-    pos = e.groupBy("period", "sub", "obj").agg(F.min("edge_id").alias("pos"))
+    pos = graph.positives(e)
     ranked = linkpred.ranks(_settled(_scores(spark, d))).join(pos, ["period", "pos"]).join(graph.seen_edges(e), ["period", "sub", "obj"])
     halves = ranked.withColumn("model", F.when(F.col("period") < "2022-07", "early").otherwise("late"))
     return linkpred.leaderboard(halves.groupBy("model").agg(r6(F.avg(1 / F.col("rank"))).alias("mrr")))
