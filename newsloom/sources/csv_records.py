@@ -27,6 +27,8 @@ SOUND = re.compile(rf"{FIELD}(?:,{FIELD})*+")
 TRIPLETS = "array<struct<sub:string,sub_type:string,rel:string,rel_category:string,obj:string,obj_type:string>>"
 SCHEMA = f"record_id long, reason string, date date, title string, url string, ticker string, output_triplets {TRIPLETS}, llm_judgments_evaluation string, revised_status string, revised_triplets {TRIPLETS}"
 PARTS = ["sub", "sub_type", "rel", "rel_category", "obj", "obj_type"]
+#: Characters that one CSV read takes at a time.
+SLICE = 1 << 25
 LIST = pa.list_(pa.struct([(p, pa.string()) for p in PARTS]))
 
 
@@ -58,17 +60,18 @@ def _read(records: list[str]) -> tuple[list[int], pa.Table | None]:
     wrong: list[int] = []
 
     def reject(row: csv.InvalidRow) -> str:
-        wrong.append(row.number - 1)
+        wrong.append(row.number - 2)
         return "skip"
 
-    data = "\n".join(records).encode("utf-8", "replace") + b"\n"
+    # A first row of our own: a byte order mark at the start of a record must not count as that of the stream.
+    data = "\n".join([",".join(COLUMNS), *records]).encode("utf-8", "replace") + b"\n"
     table = csv.read_csv(
         pa.BufferReader(data),
         read_options=csv.ReadOptions(use_threads=False, block_size=len(data) + 1, column_names=COLUMNS),
         parse_options=csv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False, invalid_row_handler=reject),
         convert_options=csv.ConvertOptions(column_types={c: pa.string() for c in COLUMNS}, strings_can_be_null=False, quoted_strings_can_be_null=False, check_utf8=False),
     )
-    return wrong, table
+    return wrong, table.slice(1)
 
 
 def load_batch(ids: list[int | None], raws: list[str | None]) -> pa.RecordBatch:
@@ -128,7 +131,12 @@ def load_batch(ids: list[int | None], raws: list[str | None]) -> pa.RecordBatch:
 
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield load_batch(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        ids, raws, at, size = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0, 0
+        for k, raw in enumerate(raws):
+            size += len(raw or "")
+            if size > SLICE or k == len(raws) - 1:
+                yield load_batch(ids[at : k + 1], raws[at : k + 1])
+                at, size = k + 1, 0
 
 
 def load_records(lines: DataFrame, id_col: str = "record_id", raw_col: str = "raw") -> DataFrame:

@@ -88,6 +88,17 @@ def test_empty_table_repeats_and_extra_columns(spark):
     assert sorted((r.record_id or 0, r.reason or "") for r in c.load_records(df).collect()) == [(0, "columns"), (1, ""), (1, "")]
 
 
+def test_byte_order_mark_and_slices(spark, monkeypatch):
+    got = load(spark, ["\ufeff" + good(), good(), "\x00" + good(), "\ufeff" + good(title="é\u2028")])
+    assert [got[k].reason for k in range(4)] == ["value", None, "value", "value"]
+    whole = c.load_batch([1, 2], [good(), good()])
+    monkeypatch.setattr(c, "SLICE", 10)
+    import pyarrow as pa
+
+    parts = list(c._load(iter([pa.record_batch({"a": pa.array([1, 2]), "b": pa.array([good(), good()])})])))
+    assert len(parts) == 2 and pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches([whole]).to_pylist()
+
+
 def test_long_record(spark):
     got = load(spark, [good(title="x" * 3_000_000)])
     assert got[0].reason is None and len(got[0].title) == 3_000_000
