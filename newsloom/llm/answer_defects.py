@@ -156,7 +156,9 @@ def tiled(answer: list[str], source: list[str], tile: int = TILE) -> int:
     k = 0
     while k <= len(answer) - tile:
         longest = 0
-        for s in places.get(tuple(answer[k : k + tile]), ())[:16]:
+        for s in places.get(tuple(answer[k : k + tile]), ()):
+            if longest and not (k + longest < len(answer) and s + longest < len(source) and answer[k + longest] == source[s + longest]):
+                continue  # it cannot be longer than the longest so far
             n = tile
             while k + n < len(answer) and s + n < len(source) and answer[k + n] == source[s + n]:
                 n += 1
