@@ -33,8 +33,8 @@ def _printable_bytes() -> dict[str, int]:
 
 
 class BpeAutomaton:
-    def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]], pattern: str = PATTERN, memory: int = 200_000):
-        """``memory``: words whose ids are kept before the store is emptied; it bounds memory, not results."""
+    def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]], pattern: str = PATTERN, memory: int = 100_000):
+        """``memory``: words whose ids are kept, and a tenth of the arcs, before both stores are emptied; it bounds memory, not results."""
         self.split = regex.compile(pattern).findall
         self.label = {i: b for b, i in vocab.items()}
         size = max(vocab.values()) + 1
@@ -106,7 +106,7 @@ class BpeAutomaton:
     def word(self, text: str) -> list[int]:
         ids = self.words.get(text)
         if ids is None:
-            if len(self.words) >= self.memory:
+            if len(self.words) >= self.memory or len(self.arcs) >= 10 * self.memory:
                 self.words.clear()
                 self.arcs.clear()
             ids = self.words[text] = self._walk(text.encode("utf-8", "replace"))

@@ -195,7 +195,7 @@ def class_pairs(docs: DataFrame, threshold: float = 0.5, id_col: str = "article_
     needed = met.select(F.col("a").alias("id")).union(met.select("b")).distinct()
     n = needed.count()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    texts = rows.join(sized_broadcast(needed, n, TEXT_ROWS), "id", "left_semi").dropDuplicates(["id"])
+    texts = rows.join(sized_broadcast(needed, n, TEXT_ROWS), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     both = met.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(verified(threshold), "a long, b long, similarity double")
 
@@ -218,8 +218,8 @@ def near_pairs(docs: DataFrame, threshold: float = 0.5, id_col: str = "article_i
     copies is written as pairs of its smallest id with every other one, and stands for itself by that id:
     no link between different texts is lost, and ``near_groups`` has the membership of every copy.
 
-    Null texts and texts of fewer than three words are no case. Repeated rows of one id count once (an id
-    with several texts counts with each). An empty table gives no rows.
+    Null texts and texts of fewer than three words are no case. Repeated rows of one id count once; of an id
+    with several texts only the least is compared. An empty table gives no rows.
     """
     members = checkpointed(copy_members(docs, id_col, text_col))
     pairs = class_pairs(docs, threshold, id_col, text_col)
