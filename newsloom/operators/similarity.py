@@ -139,14 +139,38 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * row[-1] / (len(a) + len(b))
 
 
+def letter_counts(words: list[str], width: int = 48) -> np.ndarray:
+    """How often each letter (modulo ``width``) occurs in each word."""
+    out = np.zeros((len(words), width), np.int16)
+    for k, w in enumerate(words):
+        for c in w:
+            out[k, ord(c) % width] += 1
+    return out
+
+
+def resembled(want: list[str], have: list[str], ratio: float = 0.8) -> int:
+    """Words of ``want`` with an indel ratio of at least ``ratio`` to some word of ``have``.
+
+    Letters in common bound the longest common subsequence, so only few pairs are compared letter by letter.
+    """
+    known = set(have)
+    left = [w for w in want if w not in known]
+    if not left or not have:
+        return len(want) - len(left)
+    a, b = letter_counts(left), letter_counts(have)
+    sizes = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :]
+    common = np.array([np.minimum(row, b).sum(axis=1) for row in a])
+    near = 2 * common >= ratio * sizes
+    return len(want) - len(left) + sum(any(indel_ratio(w, have[j]) >= ratio for j in np.flatnonzero(near[k])) for k, w in enumerate(left))
+
+
 @F.arrow_udf(T.DoubleType())
 def topic_coverage(articles: pa.Array, answers: pa.Array) -> pa.Array:
     """Share of an article's distinct tokens that some token of the answer resembles by an indel ratio of 0.8."""
     out = []
     for a, b in zip(articles.to_pylist(), answers.to_pylist()):
-        want, have = list(dict.fromkeys((a or "").lower().split())), set((b or "").lower().split())
-        near = lambda w: w in have or any(abs(len(w) - len(h)) <= 0.4 * len(w) + 1 and indel_ratio(w, h) >= 0.8 for h in have)
-        out.append(sum(map(near, want)) / len(want) if want else 0.0)
+        want, have = list(dict.fromkeys((a or "").lower().split())), list(dict.fromkeys((b or "").lower().split()))
+        out.append(resembled(want, have) / len(want) if want else 0.0)
     return pa.array(out, pa.float64())
 
 

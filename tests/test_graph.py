@@ -92,6 +92,17 @@ def test_entropy(spark):
     assert r[2] == 0 and abs(r.sum() - 1) < 1e-9 and abs(r[0] - r[1]) < 1e-9
 
 
+def test_resembled_words():
+    import random
+
+    rng = random.Random(8)
+    words = lambda n: list(dict.fromkeys("".join(rng.choice("abcé") for _ in range(rng.randint(1, 6))) for _ in range(n)))
+    for _ in range(100):
+        a, b = words(12), words(6)
+        assert similarity.resembled(a, b) == sum(any(similarity.indel_ratio(x, y) >= 0.8 for y in b) for x in a)
+    assert similarity.resembled([], ["a"]) == 0 and similarity.resembled(["a"], []) == 0
+
+
 def frame(n=40, periods=3, seed=1):
     rng = np.random.default_rng(seed)
     rows = []
