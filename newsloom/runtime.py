@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,23 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context: they may run where it is not on the path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_newsloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    name = os.path.join(tempfile.mkdtemp(prefix="newsloom-"), "newsloom.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(name)
+    sc._newsloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder of Parquet tables."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from newsloom.runtime import ship
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -10,4 +12,5 @@ def spark(tmp_path_factory):
     }
     s = SparkSession.builder.config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     yield s
