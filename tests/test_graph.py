@@ -156,6 +156,15 @@ def test_features():
     assert (gat.name_vector("a") == gat.name_vector("a")).all() and (gat.name_vector("a") != gat.name_vector("b")).any()
 
 
+def test_large_graphs_are_approximated(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 300
+    src, dst = np.concatenate([np.arange(n), rng.integers(0, n, 900)]), np.concatenate([(np.arange(n) + 1) % n, rng.integers(0, n, 900)])
+    whole = gat.laplacian_vectors(n, src, dst)
+    monkeypatch.setattr(gat, "DENSE_NODES", 10)
+    assert np.abs(np.abs((whole * gat.laplacian_vectors(n, src, dst)).sum(axis=0)) - 1).max() < 1e-3
+
+
 def test_experiments_in_spark(spark):
     df = spark.createDataFrame(frame(20, 2))
     got = gat.experiments(df, gat.grid(epochs=1)[:2], k=2, hidden=4).collect()
