@@ -27,8 +27,10 @@ FUNCTION_WORDS = {
     "fr": set("le la les des de du et à pour dans une un après en sur par est ne pas je ce cette avec au aux malgré chez il se qui son l d leur plus depuis".split()),
     "es": set("el la los las de del y por para en una un con tras no se al es este esta su lo que pese puedo hacia gracias ante desde sobre entre hasta sus más".split()),
 }
+LANGUAGES_OF = {w: [g for g, ws in FUNCTION_WORDS.items() if w in ws] for w in set().union(*FUNCTION_WORDS.values())}
 SCRIPTS = [("ja", "぀-ヿ"), ("zh", "㐀-鿿"), ("ko", "가-힯"), ("hi", "ऀ-ॿ"), ("ar", "؀-ۿ"), ("th", "฀-๿"), ("ru", "Ѐ-ӿ")]
 SCRIPT_PATTERNS = [(lang, re.compile(f"[{span}]")) for lang, span in SCRIPTS]
+ANY_SCRIPT = re.compile("[" + "".join(span for _, span in SCRIPTS) + "]")
 LETTERS = re.compile(r"[^\W\d_]")
 
 # The refusal grammar, by language; each alternative stands alone.
@@ -126,6 +128,8 @@ class Parsed:
 
 def script_of(text: str) -> str | None:
     """The language of a text whose script tells it, Latin names among its words notwithstanding; else None."""
+    if not ANY_SCRIPT.search(text):
+        return None
     counts = {lang: len(p.findall(text)) for lang, p in SCRIPT_PATTERNS}
     if counts["ja"]:
         counts["ja"] += counts.pop("zh")
@@ -139,8 +143,10 @@ def language(text: str | None) -> str | None:
         return None
     if (lang := script_of(text)) is not None:
         return lang
-    seen = Counter(WORD.findall(text.lower()))
-    votes = {lang: sum(seen[w] for w in ws) for lang, ws in FUNCTION_WORDS.items()}
+    votes = dict.fromkeys(FUNCTION_WORDS, 0)
+    for w in WORD.findall(text.lower()):
+        for lang in LANGUAGES_OF.get(w, ()):
+            votes[lang] += 1
     first, second = sorted(votes.values(), reverse=True)[:2]
     return max(votes, key=votes.__getitem__) if first > second else None
 
@@ -185,6 +191,7 @@ class LabelLanguages:
         for label, lang, n in sample:
             best[label][lang] += n
         self.own: dict[str, str] = {}
+        self.known: dict[str, str | None] = {}
         self.counts: dict[str, Counter] = defaultdict(Counter)
         totals = Counter()
         for langs in best.values():
@@ -210,6 +217,13 @@ class LabelLanguages:
         return {g: sum(math.log((c[f] + 0.3) / (self.sums[g] + 0.3 * self.size)) for f in self._features(label)) for g, c in self.counts.items()}
 
     def of(self, label: str) -> str | None:
+        if label not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[label] = self._of(label)
+        return self.known[label]
+
+    def _of(self, label: str) -> str | None:
         if (lang := script_of(label)) is not None:
             return lang
         if label in self.own:
@@ -261,7 +275,7 @@ def defect(answer: str | None, source: str | None, langs: LabelLanguages | None
         if mine and theirs and mine != theirs:
             return "other_language"
         return "refusal" if have else "copy"
-    long = [x for t in filled for x in t if len(x.split()) >= 7]
+    long = [x for t in filled for x in t if len(x) > 20 and len(x.split()) >= 7]
     if long and len(long) >= 0.5 * len(filled):
         said, have = WORD.findall(" ".join(long).lower()), WORD.findall((source or "").lower())
         if tiled(said, have) >= COPIED * len(said):
