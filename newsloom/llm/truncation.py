@@ -44,6 +44,7 @@ PATTERNS = {
     "short_dotted": r"(?U)^\W*\p{Lu}\p{L}{0,4}[.]$",
     "small": r"(?U)^\p{Ll}",
     "digit_end": r"[0-9]$",
+    "letter_first": r"(?U)^\p{L}",
     "open_end": r"[,;:\-–(\[“„«$€£¿¡&/]$",
 }
 
@@ -148,12 +149,12 @@ LEFT JOIN {singles} s ON l.z = s.z
 VERDICT = """
 SELECT j.table_name, j.record_id,
   open_end OR n > 1 AND coalesce(CASE
-    WHEN g.longer >= {least_seen} AND g.own <= greatest(1, {share_fragment} * g.longer) THEN true
+    WHEN g.longer >= {least_seen} AND j.e RLIKE :letter_first AND g.own <= greatest(1, {share_fragment} * g.longer) THEN true
     WHEN f.longer >= 2 AND f.longer > 3 * p_seen THEN true
-    WHEN r_seen >= {least_trigram} AND size(filter(array(j.x, j.y, j.a, j.b, j.z), w -> w RLIKE :small)) >= 2 THEN r_ended <= if(stop, {share_stopped}, {share}) * r_seen
-    WHEN t_seen >= {least_trigram} AND exists(array(j.a, j.b, j.z), w -> w RLIKE :small) THEN t_ended <= if(stop, {share_stopped}, {share}) * t_seen
-    WHEN p_seen >= {least_pair} AND exists(array(j.b, j.z), w -> w RLIKE :small) THEN p_ended <= if(stop, {share_stopped}, {share}) * p_seen
-    WHEN s_seen >= {least_single} THEN s_ended <= {share_stopped} * s_seen
+    WHEN r_seen >= if(stop, {stopped_times}, 1) * {least_trigram} AND size(filter(array(j.x, j.y, j.a, j.b, j.z), w -> w RLIKE :small)) >= 2 THEN r_ended <= if(stop, {share_stopped}, {share}) * r_seen
+    WHEN t_seen >= if(stop, {stopped_times}, 1) * {least_trigram} AND exists(array(j.a, j.b, j.z), w -> w RLIKE :small) THEN t_ended <= if(stop, {share_stopped}, {share}) * t_seen
+    WHEN p_seen >= if(stop, {stopped_times}, 1) * {least_pair} AND exists(array(j.b, j.z), w -> w RLIKE :small) THEN p_ended <= if(stop, {share_stopped}, {share}) * p_seen
+    WHEN NOT stop AND s_seen >= {least_single} THEN s_ended <= {share_stopped} * s_seen
     ELSE false END, false) AS cut
 FROM {judged} j
 LEFT JOIN {fragments} f ON j.b = f.b AND j.z = f.z
@@ -178,14 +179,15 @@ def _sql(query: str, **frames) -> DataFrame:
 
 
 def judged_values(
-    articles: DataFrame, triplets: DataFrame, least_trigram: int = 4, least_pair: int = 6, least_single: int = 20, least_seen: int = 5, share_fragment: float = 0.02, share: float = 0.08, share_stopped: float = 0.04
+    articles: DataFrame, triplets: DataFrame, least_trigram: int = 4, least_pair: int = 6, least_single: int = 20, least_seen: int = 5, share_fragment: float = 0.02, share: float = 0.08, share_stopped: float = 0.04, stopped_times: int = 3
 ) -> DataFrame:
     """table_name, record_id, cut for every value.
 
     A last word is a fragment when longer words with that beginning occur ``least_seen`` times, and it itself
     nowhere else or at most ``share_fragment`` as often. Else the last five words, or else the last three, decide
     when they occur ``least_trigram`` times elsewhere, the last two when they occur ``least_pair`` times, the last
-    one from ``least_single`` on; a value is cut when at most ``share`` of those occurrences end a sentence or value (``share_stopped`` when the value ends with a full stop).
+    one from ``least_single`` on; a value is cut when at most ``share`` of those occurrences end a sentence or value. A value that ends with a full stop takes ``stopped_times`` as many
+    occurrences and at most ``share_stopped`` of ends, and is not cut by its last word alone.
     Null, empty and blank values are not cut. Repeated rows come out each, and count each.
     """
     values = _sql(VALUES, articles=articles, triplets=triplets)
@@ -196,7 +198,7 @@ def judged_values(
     judged = _sql(JUDGED, last=_sql(LAST, words=words), runs=runs, grams=grams, pairs=pairs, singles=_sql(SINGLES, pairs=pairs))
     rare = _sql("SELECT b, z FROM {judged} WHERE p_seen < {least_single} AND (z RLIKE :small OR z RLIKE :digit_end)", judged=judged, least_single=least_single)
     beginnings = _sql(BEGINNINGS, words=words, least_seen=least_seen)
-    bounds = dict(least_trigram=least_trigram, least_pair=least_pair, least_single=least_single, least_seen=least_seen, share_fragment=share_fragment, share=share, share_stopped=share_stopped)
+    bounds = dict(least_trigram=least_trigram, least_pair=least_pair, least_single=least_single, least_seen=least_seen, share_fragment=share_fragment, share=share, share_stopped=share_stopped, stopped_times=stopped_times)
     prose = _sql(VERDICT, judged=judged, fragments=_sql(FRAGMENTS, rare=rare, pairs=pairs), beginnings=beginnings, **bounds)
     return prose.unionByName(_sql(LISTS, values=values))
 
