@@ -149,7 +149,7 @@ LEFT JOIN {singles} s ON l.z = s.z
 VERDICT = """
 SELECT j.table_name, j.record_id,
   open_end OR n > 1 AND coalesce(CASE
-    WHEN g.longer >= {least_seen} AND j.e RLIKE :letter_first AND g.own <= greatest(1, {share_fragment} * g.longer) THEN true
+    WHEN g.longer >= {least_seen} AND j.e RLIKE :letter_first AND g.own <= greatest(1, {share_fragment} * g.longer) AND (g.own <= 1 OR j.z = 'Aa' OR s_ended <= {share} * s_seen) THEN true
     WHEN f.longer >= 2 AND f.longer > 3 * p_seen THEN true
     WHEN r_seen >= if(stop, {stopped_times}, 1) * {least_trigram} AND size(filter(array(j.x, j.y, j.a, j.b, j.z), w -> w RLIKE :small)) >= 2 THEN r_ended <= if(stop, {share_stopped}, {share}) * r_seen
     WHEN t_seen >= if(stop, {stopped_times}, 1) * {least_trigram} AND exists(array(j.a, j.b, j.z), w -> w RLIKE :small) THEN t_ended <= if(stop, {share_stopped}, {share}) * t_seen
