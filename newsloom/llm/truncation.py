@@ -192,7 +192,7 @@ def judged_values(
     """
     values = _sql(VALUES, articles=articles, triplets=triplets)
     words = checkpointed(_sql(WORDS, values=values))  # read twice; also keeps the union out of the joins' plan
-    runs = _sql(RUNS, words=words)
+    runs = checkpointed(_sql(RUNS, words=words))  # read four times
     grams = _sql(GRAMS, runs=runs)
     pairs = _sql(PAIRS, grams=grams)
     judged = _sql(JUDGED, last=_sql(LAST, words=words), runs=runs, grams=grams, pairs=pairs, singles=_sql(SINGLES, pairs=pairs))
