@@ -573,18 +573,14 @@ def gat_forward(spark, d):
 
 @query()
 def gat_train(spark, d):
-    """Two of the ten configurations over the graphs of the edges between entities, by year."""
-    names = table(spark, d, "entities").select(F.col("entity_name").alias("sub"))
-    e = _edges(spark, d).join(names, "sub", "left_semi").join(names.withColumnRenamed("sub", "obj"), "obj", "left_semi").withColumn("period", F.substring("period", 1, 4))
-    return gat.experiments(e, [c for c in gat.grid(epochs=5) if c[0] in ("bpr_edge", "infonce_plain")], k=3).drop("weights")
+    """All ten configurations over all edges, by month."""
+    return gat.experiments(_edges(spark, d), gat.grid()).drop("weights")
 
 
 @query()
 def gat_edge_scores(spark, d):
-    names = table(spark, d, "entities").select(F.col("entity_name").alias("sub"))
-    e = _edges(spark, d).join(names, "sub", "left_semi").join(names.withColumnRenamed("sub", "obj"), "obj", "left_semi").withColumn("period", F.substring("period", 1, 4))
-    configs = [c for c in gat.grid(epochs=2) if c[0] == "bpr_plain"]
-    return gat.scored_edges(e, gat.trained_or_loaded(e, configs, None, k=3), configs)
+    e, configs = _edges(spark, d), gat.grid()
+    return gat.scored_edges(e, gat.trained_or_loaded(e, configs, None), configs)
 
 
 # ---------------------------------------------------------------- prompts and flags

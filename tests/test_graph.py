@@ -180,3 +180,35 @@ def test_scores_by_kept_weights(spark):
     got = gat.scored_edges(df, gat.trained_or_loaded(df, configs, kept, train_mode=False), configs, hidden=4).collect()
     pairs = {(r.period, r.sub, r.obj) for r in df.collect()}
     assert len(got) == 2 * sum(p[0] > "2024-01" for p in pairs) and all(np.isfinite(r.score) for r in got)
+
+
+def test_registered_training_is_whole(spark, monkeypatch):
+    """All ten configurations with the reference's epochs, on every edge, by month."""
+    from newsloom import queries
+
+    seen = {}
+    monkeypatch.setattr(queries, "_edges", lambda spark, d: "edges")
+    monkeypatch.setattr(gat, "experiments", lambda e, configs, **p: seen.update(train=(e, configs, p)) or spark.range(1))
+    monkeypatch.setattr(gat, "scored_edges", lambda e, results, configs, **p: seen.update(score=(e, configs, p)) or spark.range(1))
+    queries.QUERIES["gat_train"](spark, "")
+    assert seen["train"][0] == "edges" and seen["train"][2] == {} and len({c[0] for c in seen["train"][1]}) == 10
+    assert sorted(c[3] for c in seen["train"][1]) == [100] * 2 + [200] * 8
+    monkeypatch.setattr(gat, "trained_or_loaded", lambda e, configs, kept, **p: seen.update(kept=p) or spark.range(1))
+    queries.QUERIES["gat_edge_scores"](spark, "")
+    assert seen["score"] == ("edges", gat.grid(), {}) and seen["kept"] == {}
+    import inspect
+
+    given = {k: v.default for k, v in inspect.signature(gat.train).parameters.items()}
+    assert (given["k"], given["hidden"], given["epochs"], given["patience"]) == (50, 256, 200, 20)
+
+
+def test_dots(monkeypatch):
+    rng = np.random.default_rng(4)
+    v, a, b, w = rng.normal(size=(9, 5)), rng.integers(0, 9, 40), rng.integers(0, 9, 40), rng.normal(size=40)
+    monkeypatch.setattr(gat, "PAIRS", 7)
+    x = gat.Node(v)
+    y = gat.dots(x, a, b)
+    want = np.zeros_like(v)
+    np.add.at(want, a, w[:, None] * v[b])
+    np.add.at(want, b, w[:, None] * v[a])
+    assert np.allclose(y.v, (v[a] * v[b]).sum(axis=1)) and np.allclose(y.pull[0][1](w), want)
