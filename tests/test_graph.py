@@ -212,3 +212,37 @@ def test_dots(monkeypatch):
     np.add.at(want, a, w[:, None] * v[b])
     np.add.at(want, b, w[:, None] * v[a])
     assert np.allclose(y.v, (v[a] * v[b]).sum(axis=1)) and np.allclose(y.pull[0][1](w), want)
+
+
+def _solved_both_ways(monkeypatch, n, src, dst):
+    monkeypatch.setattr(gat, "DENSE_NODES", n)
+    whole = gat.laplacian_vectors(n, src, dst)
+    monkeypatch.setattr(gat, "DENSE_NODES", 0)
+    return whole, gat.laplacian_vectors(n, src, dst)
+
+
+def _residual(n, src, dst, x):
+    a = np.zeros((n, n))
+    a[src, dst] = a[dst, src] = 1
+    s = 1 / np.sqrt(np.maximum(1, a.sum(axis=1)))
+    lap = np.diag((a.sum(axis=1) > 0) * 1.0) - s[:, None] * a * s
+    vals = np.einsum("ij,ij->j", x, lap @ x)
+    return np.abs(lap @ x - x * vals).max(), vals, np.linalg.eigvalsh(lap)[1:4]
+
+
+def test_repeated_eigenvalues_have_one_answer(monkeypatch):
+    rng = np.random.default_rng(5)
+    ring = np.arange(120)
+    cases = {
+        "star": (40, np.zeros(39, int), np.arange(1, 40)),
+        "ring": (120, ring, (ring + 1) % 120),
+        "two parts": (180, np.r_[ring, np.arange(120, 179)], np.r_[(ring + 7) % 120, np.arange(121, 180)]),
+        "many parts": (400, rng.integers(0, 400, 150), rng.integers(0, 400, 150)),
+        "chance": (300, np.r_[np.arange(300), rng.integers(0, 300, 600)], np.r_[(np.arange(300) + 1) % 300, rng.integers(0, 300, 600)]),
+    }
+    for name, (n, src, dst) in cases.items():
+        whole, steps = _solved_both_ways(monkeypatch, n, src, dst)
+        assert np.abs(whole - steps).max() < 1e-5, name
+        bad, vals, want = _residual(n, src, dst, steps)
+        assert bad < 1e-7 and np.abs(vals - want).max() < 1e-7, (name, vals, want)
+        assert np.abs(steps.T @ steps - np.eye(3)).max() < 1e-7, name
