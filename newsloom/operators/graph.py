@@ -122,12 +122,13 @@ def positives(edges: DataFrame) -> DataFrame:
     return edges.groupBy("period", "sub", "obj").agg(F.min("edge_id").alias("pos"))
 
 
-def negatives(edges: DataFrame, k: int = 50, tries: int = 3) -> DataFrame:
-    """period, pos, src, dst, neg, n: for each collapsed edge up to ``k`` nodes of its period that are no neighbour of
+def negatives(edges: DataFrame, k: int = 50, tries: int = 3, pad: bool = True) -> DataFrame:
+    """period, pos, src, dst, neg, n: for each collapsed edge ``k`` nodes of its period that are no neighbour of
     its source in either direction.
 
     Nodes are numbered in the order of a slice of their md5, slice by slice. Each positive draws ``tries`` * k nodes by number, so candidates are k times the positives and never positives
-    times nodes. A positive with no valid draw has no negatives; its id stays on all others.
+    times nodes. Where fewer than ``k`` are valid, those there are drawn again until there are ``k`` (not with ``pad``
+    off). A positive with no valid draw has no negatives; its id stays on all others.
     """
     pairs = positives(edges)
     nodes = pairs.select("period", F.explode(F.array("sub", "obj")).alias("node")).distinct()
@@ -138,7 +139,16 @@ def negatives(edges: DataFrame, k: int = 50, tries: int = 3) -> DataFrame:
     linked = pairs.select("period", "sub", F.col("obj").alias("node")).union(pairs.select("period", "obj", "sub")).distinct()
     free = drawn.filter("node <> sub").join(linked, ["period", "sub", "node"], "left_anti")
     nth = Window.partitionBy("period", "pos").orderBy("j")
-    return free.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= k).select("period", "pos", "sub", "obj", F.col("node").alias("neg"), F.col("nth").cast("int").alias("nth"))
+    first = free.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= k).select("period", "pos", "sub", "obj", F.col("node").alias("neg"), F.col("nth").cast("int").alias("nth"))
+    return padded(first, k, tries) if pad else first
+
+
+def padded(negatives: DataFrame, k: int, tries: int) -> DataFrame:
+    """Negatives of one positive made ``k``: each further one is drawn from those before it, drawn ones among them."""
+    own = negatives.groupBy("period", "pos", "sub", "obj").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "neg"))), lambda x: x["neg"]).alias("l"))  # at most k each
+    again = F.aggregate(F.sequence(F.size("l"), F.lit(k - 1)), F.col("l"), lambda l, i: F.concat(l, F.array(F.get(l, draw(F.col("pos"), i + F.lit(tries * k), F.size(l)).cast("int")))))
+    full = own.withColumn("l", F.when(F.size("l") < k, again).otherwise(F.col("l")))
+    return full.select("period", "pos", "sub", "obj", F.posexplode("l").alias("nth", "neg")).select("period", "pos", "sub", "obj", "neg", (F.col("nth") + 1).cast("int").alias("nth"))
 
 
 def report(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -431,23 +432,33 @@ _NEGS = f"""q AS (SELECT period, sub, obj, min(edge_id) AS pos FROM e GROUP BY p
 
 
 @query(f"WITH {_E}, {_NEGS} SELECT period, pos, sub, obj, neg, nth FROM ng")
-def negative_samples(spark, d):
-    return graph.negatives(_edges(spark, d), NEG)
+def negative_samples(spark, d, whole=False):
+    return _negatives(_edges(spark, d), whole)
 
 
-def _vectors(spark, d) -> DataFrame:
-    """A vector for each node: that of the node's number, modulo 500, among the embeddings."""
-    v = graph.vocabulary(_edges(spark, d), "sub", "obj", start=0, unk=False).select(F.col("value").alias("node"), (F.col("id") % 500).alias("vec_id"))
-    return v.join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label"), "vec_id")
+def _negatives(edges: DataFrame, whole: bool) -> DataFrame:
+    """The operator's own negatives; else those of the SQL, ``NEG`` at most and without further draws."""
+    return graph.negatives(edges) if whole else graph.negatives(edges, NEG, pad=False)
+
+
+def _vectors(spark, d, whole=False) -> DataFrame:
+    """A vector for each node: that of the node's number among all embeddings, over and over; in the SQL modulo 500."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    n = 500
+    if whole:
+        e = e.join(graph.numbered(e, "vec_id"), "vec_id").drop("vec_id").withColumnRenamed("id", "vec_id")
+        n = e.count()
+    v = graph.vocabulary(_edges(spark, d), "sub", "obj", start=0, unk=False).select(F.col("value").alias("node"), (F.col("id") % n).alias("vec_id"))
+    return v.join(e, "vec_id")
 
 
 _SC = f"""{_NEGS}, ev AS (SELECT n.value AS node, b.embedding::DOUBLE[] AS v, b.label FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS id FROM (SELECT sub AS value FROM e UNION SELECT obj FROM e)) n JOIN embeddings b ON b.vec_id = n.id % 500),
  sc AS (SELECT ng.period, ng.pos, ng.nth, list_dot_product(s.v, o.v) AS s_pos, list_dot_product(s.v, x.v) AS s_neg FROM ng JOIN ev s ON ng.sub = s.node JOIN ev o ON ng.obj = o.node JOIN ev x ON ng.neg = x.node)"""
 
 
-def _scores(spark, d) -> DataFrame:
+def _scores(spark, d, whole=False) -> DataFrame:
     e = _edges(spark, d)
-    return linkpred.scored(graph.positives(e), graph.negatives(e, NEG), _vectors(spark, d))
+    return linkpred.scored(graph.positives(e), _negatives(e, whole), _vectors(spark, d, whole))
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -459,22 +470,22 @@ _SR = _SC.replace("list_dot_product(s.v, o.v) AS s_pos", "round(list_dot_product
 
 
 @query(f"WITH {_E}, {_SC} SELECT period, pos, nth, round(s_pos, 6) AS s_pos, round(s_neg, 6) AS s_neg FROM sc")
-def edge_dot_scores(spark, d):
-    return _scores(spark, d).select("period", "pos", "nth", r6("s_pos").alias("s_pos"), r6("s_neg").alias("s_neg"))
+def edge_dot_scores(spark, d, whole=False):
+    return _scores(spark, d, whole).select("period", "pos", "nth", r6("s_pos").alias("s_pos"), r6("s_neg").alias("s_neg"))
 
 
 _RK = _SR + ", rk AS (SELECT period, pos, count_if(s_neg >= s_pos)::BIGINT + 1 AS rank FROM sc GROUP BY period, pos)"
 
 
 @query(f"WITH {_E}, {_RK} SELECT period, pos, rank FROM rk")
-def pos_rank(spark, d):
-    return linkpred.ranks(_settled(_scores(spark, d)))
+def pos_rank(spark, d, whole=False):
+    return linkpred.ranks(_settled(_scores(spark, d, whole)))
 
 
-def _metrics(spark, d) -> DataFrame:
+def _metrics(spark, d, whole=False) -> DataFrame:
     e = _edges(spark, d)
     pos = graph.positives(e)
-    ranked = linkpred.ranks(_settled(_scores(spark, d))).join(pos, ["period", "pos"]).join(graph.seen_edges(e), ["period", "sub", "obj"])
+    ranked = linkpred.ranks(_settled(_scores(spark, d, whole))).join(pos, ["period", "pos"]).join(graph.seen_edges(e), ["period", "sub", "obj"])
     return linkpred.metrics(ranked)
 
 
@@ -487,8 +498,8 @@ _MT = f"{_RK}, {_SEEN}, ms AS (SELECT rk.period, rk.rank, se.seen FROM rk JOIN q
 
 
 @query(f"WITH {_E}, {_MT} SELECT period, {_group_sql('', 'true')}, {_group_sql('seen_', 'seen')}, {_group_sql('unseen_', 'NOT seen')} FROM ms GROUP BY period")
-def linkpred_metrics(spark, d):
-    m = _metrics(spark, d)
+def linkpred_metrics(spark, d, whole=False):
+    m = _metrics(spark, d, whole)
     return m.select(*[c if c == "period" or c.endswith("count") else r6(c).alias(c) for c in m.columns])
 
 
@@ -497,61 +508,67 @@ _PP = "pp AS (SELECT period, count(*) AS n, avg(1.0 / rank) AS mrr, avg((rank <=
 
 
 @query(f"WITH {_E}, {_MT}, {_PP}, av AS (SELECT {_AVG}, sum(mrr * n) / sum(n) AS weighted_mrr FROM pp) SELECT 'dot' AS model, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("mrr", "hits1", "hits3", "hits10", "seen_mrr", "unseen_mrr", "weighted_mrr")) + " FROM av")
-def linkpred_metrics_avg(spark, d):
-    a = linkpred.averaged(_metrics(spark, d).withColumn("model", F.lit("dot")))
+def linkpred_metrics_avg(spark, d, whole=False):
+    a = linkpred.averaged(_metrics(spark, d, whole).withColumn("model", F.lit("dot")))
     return a.select("model", *[r6(c).alias(c) for c in a.columns if c != "model"])
 
 
 @query(f"WITH {_E}, {_MT}, by_half AS (SELECT CASE WHEN period < '2022-07' THEN 'early' ELSE 'late' END AS model, round(avg(1.0 / rank), 6) AS mrr FROM ms GROUP BY 1) SELECT model, mrr, row_number() OVER (ORDER BY mrr DESC, model)::INT AS position FROM by_half")
-def leaderboard(spark, d):
+def leaderboard(spark, d, whole=False):
     e = _edges(spark, d)
     pos = graph.positives(e)
-    ranked = linkpred.ranks(_settled(_scores(spark, d))).join(pos, ["period", "pos"]).join(graph.seen_edges(e), ["period", "sub", "obj"])
+    ranked = linkpred.ranks(_settled(_scores(spark, d, whole))).join(pos, ["period", "pos"]).join(graph.seen_edges(e), ["period", "sub", "obj"])
     halves = ranked.withColumn("model", F.when(F.col("period") < "2022-07", "early").otherwise("late"))
     return linkpred.leaderboard(halves.groupBy("model").agg(r6(F.avg(1 / F.col("rank"))).alias("mrr")))
 
 
 @query(f"WITH {_E}, {_SC} SELECT period, round(avg(greatest(5.0 + s_neg - s_pos, 0)), 6) AS bpr FROM sc GROUP BY period")
-def loss_bpr(spark, d):
-    return _scores(spark, d).groupBy("period").agg(r6(linkpred.hinge_loss()).alias("bpr"))
+def loss_bpr(spark, d, whole=False):
+    return _scores(spark, d, whole).groupBy("period").agg(r6(linkpred.hinge_loss()).alias("bpr"))
 
 
 _LS = "(least({0}, 0) - ln(1 + exp(-abs({0}))))"
 
 
 @query(f"WITH {_E}, {_SC} SELECT period, round(-avg({_LS.format('(s_pos - 1)')} + {_LS.format('(1 - s_neg)')}), 6) AS findkg FROM sc GROUP BY period")
-def loss_findkg(spark, d):
-    return _scores(spark, d).groupBy("period").agg(r6(linkpred.margin_loss()).alias("findkg"))
+def loss_findkg(spark, d, whole=False):
+    return _scores(spark, d, whole).groupBy("period").agg(r6(linkpred.margin_loss()).alias("findkg"))
 
 
 _NCE = "nc AS (SELECT period, avg(ln(exp(any_p / 0.8) + s) - any_p / 0.8) AS nce FROM (SELECT period, pos, any_value(s_pos) AS any_p, sum(exp(s_neg / 0.8)) AS s FROM sc GROUP BY period, pos) GROUP BY period)"
 
 
 @query(f"WITH {_E}, {_SC}, {_NCE} SELECT period, round(nce, 6) AS infonce FROM nc")
-def loss_infonce(spark, d):
-    return linkpred.info_nce(_scores(spark, d), 64).select("period", r6("info_nce").alias("infonce"))
+def loss_infonce(spark, d, whole=False):
+    return linkpred.info_nce(_scores(spark, d, whole), 64).select("period", r6("info_nce").alias("infonce"))
 
 
 _CE = "ce AS (SELECT n.period, avg(ln(list_sum(list_transform(ev.v[1:10], lambda x: exp(x)))) - ev.v[ev.label + 1]) AS ce FROM (SELECT period, sub AS node FROM e UNION SELECT period, obj FROM e) n JOIN ev ON n.node = ev.node GROUP BY n.period)"
 
 
-def _cross_entropy(spark, d) -> DataFrame:
+def _cross_entropy(spark, d, whole=False) -> DataFrame:
     nodes = _edges(spark, d).select("period", F.explode(F.array("sub", "obj")).alias("node")).distinct()
-    rows = nodes.join(_vectors(spark, d).withColumn("logits", F.slice("vector", 1, 10)), "node")
+    rows = nodes.join(_vectors(spark, d, whole).withColumn("logits", F.slice("vector", 1, 10)), "node")
     return linkpred.cross_entropy(rows.withColumn("logits", F.transform("logits", lambda x: x.cast("double"))), "logits", "label", ("period",))
 
 
 @query(f"WITH {_E}, {_SC}, {_CE} SELECT period, round(ce, 6) AS ce FROM ce")
-def loss_ce(spark, d):
-    return _cross_entropy(spark, d).select("period", r6("cross_entropy").alias("ce"))
+def loss_ce(spark, d, whole=False):
+    return _cross_entropy(spark, d, whole).select("period", r6("cross_entropy").alias("ce"))
 
 
 @query(f"WITH {_E}, {_SC}, {_NCE}, {_CE} SELECT period, round(nce + 0.5 * ce, 6) AS hybrid FROM nc JOIN ce USING (period)")
-def loss_hybrid(spark, d):
-    both = linkpred.info_nce(_scores(spark, d), 64).join(_cross_entropy(spark, d), "period")
+def loss_hybrid(spark, d, whole=False):
+    both = linkpred.info_nce(_scores(spark, d, whole), 64).join(_cross_entropy(spark, d, whole), "period")
     return both.select("period", r6(linkpred.hybrid(F.col("info_nce"), F.col("cross_entropy"))).alias("hybrid"))
 
 
+#: The whole job beside each query whose SQL has 5 negatives and 500 vectors: 50 negatives, drawn again where too few are
+#: valid, and all embeddings.
+for _name in ("negative_samples", "edge_dot_scores", "pos_rank", "linkpred_metrics", "linkpred_metrics_avg", "leaderboard", "loss_bpr", "loss_findkg", "loss_infonce", "loss_ce", "loss_hybrid"):
+    QUERIES[f"{_name}_whole"] = partial(QUERIES[_name], whole=True)
+
+
 # ---------------------------------------------------------------- graph attention (no SQL can give these)
 
 
@@ -620,4 +637,4 @@ def judge_stage(spark, d):
 
 @query()
 def link_prediction_stage(spark, d):
-    return pipelines.link_prediction(_edges(spark, d), _vectors(spark, d), NEG)
+    return pipelines.link_prediction(_edges(spark, d), _vectors(spark, d, whole=True))

@@ -246,3 +246,28 @@ def test_repeated_eigenvalues_have_one_answer(monkeypatch):
         bad, vals, want = _residual(n, src, dst, steps)
         assert bad < 1e-7 and np.abs(vals - want).max() < 1e-7, (name, vals, want)
         assert np.abs(steps.T @ steps - np.eye(3)).max() < 1e-7, name
+
+
+def test_negatives_are_made_k(spark):
+    rows = [(k, f"n{k}", "T", "r", "c", f"n{(k + 1) % 5}", "T", 1.0, "p1") for k in range(5)]
+    e = spark.createDataFrame(rows, "edge_id long, sub string, sub_type string, rel string, rel_category string, obj string, obj_type string, w double, period string")
+    got, few = graph.negatives(e, 50, tries=1).collect(), graph.negatives(e, 50, tries=1, pad=False).collect()
+    assert len(few) < 250 and {r.pos: max(x.nth for x in few if x.pos == r.pos) for r in few}.keys() == set(range(5))
+    for p in range(5):
+        mine = [r for r in got if r.pos == p]
+        assert sorted(r.nth for r in mine) == list(range(1, 51)) and {r.neg for r in mine} == {r.neg for r in few if r.pos == p}
+    assert {tuple(r) for r in few} <= {tuple(r) for r in got}
+
+
+def test_whole_link_prediction_uses_all_embeddings_and_50_negatives(spark, tmp_path):
+    from newsloom import queries
+
+    nodes = [f"n{k:04}" for k in range(700)]
+    rows = [(k, 1, a, "T", "r", "c", nodes[(k + 1) % 700], "T", 1.0, "2024-01-05") for k, a in enumerate(nodes)]
+    spark.createDataFrame(rows, "edge_id long, article_id long, sub string, sub_type string, rel string, rel_category string, obj string, obj_type string, w double, date string").withColumn("date", F.to_timestamp("date")).write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([(k, [float(k), 1.0], 0) for k in range(600)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = queries._vectors(spark, str(tmp_path), whole=True).collect()
+    assert len(v) == 700 and len({tuple(r.vector) for r in v}) == 600
+    n = queries.QUERIES["negative_samples_whole"](spark, str(tmp_path)).groupBy("pos").count().collect()
+    assert len(n) == 700 and {r["count"] for r in n} == {50}
+    assert queries.QUERIES["pos_rank_whole"](spark, str(tmp_path)).agg(F.max("rank")).first()[0] > 6
