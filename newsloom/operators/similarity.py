@@ -207,12 +207,17 @@ def sentence_ranks(tokens: list[list[str]], damping: float = 0.85, rounds: int =
 STOP_WORDS = frozenset("a an and are as at be but by for from has have he her his i in is it its of on or she so than that the their they this to was we were which who will with you".split())
 
 
+#: Where a sentence ends: behind a mark and before a blank, or behind a full-width mark, which no blank follows, and the
+#: brackets and quotation marks that close with it.
+SENTENCE_END = re.compile(r"(?<=[.!?…؟۔।॥։።])\s+|(?<=[。！？｡])(?![。！？｡…」』”’）》】])\s*|(?<=[。！？｡][」』”’）》】])(?![」』”’）》】])\s*")
+
+
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("sentence", T.StringType()), T.StructField("weight", T.DoubleType())])))
 def textrank(texts: pa.Array) -> pa.Array:
-    """Sentences of a text (ends of . ! ?) with their rank, scaled to sum 1; equal weights where nothing is linked."""
+    """Sentences of a text (``SENTENCE_END``) with their rank, scaled to sum 1; equal weights where nothing is linked."""
     out = []
     for t in texts.to_pylist():
-        parts = [s for s in re.split(r"(?<=[.!?])\s+", (t or "").strip()) if s]
+        parts = [s for s in SENTENCE_END.split((t or "").strip()) if s]
         words = [[w for w in re.findall(r"[^\W\d_]+", s.lower()) if w not in STOP_WORDS] for s in parts]
         r = sentence_ranks(words)
         r = r / r.sum() if r.sum() > 0 else np.full(len(parts), 1 / max(1, len(parts)))

@@ -336,7 +336,7 @@ def category_lookup(spark, d):
 
 @query()
 def textrank_weights(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.explode(similarity.textrank("text")).alias("s")).select("doc_id", "s.sentence", r6("s.weight").alias("weight"))
+    return table(spark, d, "documents").select("doc_id", F.explode(similarity.textrank("text")).alias("s")).select("doc_id", "s.sentence", r6("s.weight").alias("weight"))
 
 
 @query()

@@ -271,3 +271,16 @@ def test_whole_link_prediction_uses_all_embeddings_and_50_negatives(spark, tmp_p
     n = queries.QUERIES["negative_samples_whole"](spark, str(tmp_path)).groupBy("pos").count().collect()
     assert len(n) == 700 and {r["count"] for r in n} == {50}
     assert queries.QUERIES["pos_rank_whole"](spark, str(tmp_path)).agg(F.max("rank")).first()[0] > 6
+
+
+def test_sentences_of_any_language(spark, tmp_path):
+    from newsloom import queries
+
+    texts = [("en", "Chips rose. Chips fell! Why?"), ("de", "Chips stiegen. Chips fielen."), (None, "Chips rose. Chips fell."), ("EN", "Chips rose. Chips fell."), ("zh", "芯片上涨。他说：“芯片下跌。”为什么？"), ("hi", "एक वाक्य। दो वाक्य।"), ("fr", "3.5 % de hausse. Fin."), ("en", None)]
+    spark.createDataFrame([(k, lang, t) for k, (lang, t) in enumerate(texts)], "doc_id int, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in queries.QUERIES["textrank_weights"](spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.sentence, r.weight))
+    assert {k: len(v) for k, v in got.items()} == {0: 3, 1: 2, 2: 2, 3: 2, 4: 3, 5: 2, 6: 2}
+    assert [x[0] for x in got[4]] == ["芯片上涨。", "他说：“芯片下跌。”", "为什么？"]
+    assert all(abs(sum(w for _, w in v) - 1) < 1e-4 for v in got.values())
