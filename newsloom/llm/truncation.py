@@ -5,7 +5,8 @@ inside sentences and at ends over all values; the last trigram of a value is joi
 a value is cut when that trigram is frequent inside but almost never ends anything. Words are taken by
 class (capitalised words and numbers stand for all of their kind). Where the same five words have been
 seen they decide before the trigram; where a trigram is too rare its last two words, then its last word
-decide. A last word that hardly ever occurs is a fragment when longer words begin with it.
+decide. A last word that hardly ever occurs is a fragment when longer words begin with it. Copies of a
+value count once, so that they cannot vouch for each other, and share its verdict.
 """
 
 from __future__ import annotations
@@ -84,18 +85,21 @@ OPEN_END = """(
   OR length(body) - length(translate(body, '(', '')) > length(body) - length(translate(body, ')', ''))
 )"""
 
+#: Prose, one row per distinct body; ``key`` stands for the body from here on.
+BODIES = "SELECT md5(body) AS key, first(body) AS body FROM {values} WHERE NOT listed AND body RLIKE :some GROUP BY md5(body)"
+
 #: Prose: the class of each word, whether it bears an end mark, and whether it could begin a sentence.
 WORDS = f"""
 WITH split AS (
-  SELECT table_name, record_id, body, split(regexp_replace(body, :outer_blanks, ''), :blanks) AS w
-  FROM {{values}} WHERE NOT listed AND body RLIKE :some
+  SELECT key, body, split(regexp_replace(body, :outer_blanks, ''), :blanks) AS w
+  FROM {{bodies}}
 ), marked AS (
-  SELECT table_name, record_id, {OPEN_END} AS open_end, body = upper(body) AS shouted,
+  SELECT key, {OPEN_END} AS open_end, body = upper(body) AS shouted,
     transform(w, x -> CASE WHEN x RLIKE :plain THEN named_struct('core', x, 'plain', true, 'stop', false, 'opens', false)
       ELSE named_struct('core', if(x LIKE '%.' AND x RLIKE :short_dotted, x, regexp_replace(x, :not_word, '')), 'plain', false, 'stop', x RLIKE :end_mark, 'opens', x RLIKE :opening) END) AS t
   FROM split
 )
-SELECT table_name, record_id, open_end, size(t) AS n, transform(t.core, x -> lower(trim(TRAILING '.' FROM x))) AS e, t.stop AS stop, t.opens AS opens,
+SELECT key, open_end, size(t) AS n, transform(t.core, x -> lower(trim(TRAILING '.' FROM x))) AS e, t.stop AS stop, t.opens AS opens,
   transform(t, y -> CASE WHEN y.plain THEN y.core WHEN shouted THEN regexp_replace(lower(y.core), :digits, '0') WHEN y.core RLIKE :number THEN regexp_replace(y.core, :digits, '0')
     WHEN y.core RLIKE :capital THEN if(y.core LIKE '%.%', y.core, 'Aa') ELSE lower(y.core) END) AS c
 FROM marked
@@ -126,7 +130,7 @@ SELECT word, max(own) AS own, sum(longer) AS longer FROM (
 """
 
 LAST = """
-SELECT table_name, record_id, open_end, n, if(n > 4, c[n - 5], '^') AS x, if(n > 3, c[n - 4], '^') AS y, if(n > 2, c[n - 3], '^') AS a, if(n > 1, c[n - 2], '^') AS b,
+SELECT key, open_end, n, if(n > 4, c[n - 5], '^') AS x, if(n > 3, c[n - 4], '^') AS y, if(n > 2, c[n - 3], '^') AS a, if(n > 1, c[n - 2], '^') AS b,
   c[n - 1] AS z, e[n - 1] AS e, stop[n - 1] AS stop, if(stop[n - 1] OR NOT exists(stop, t -> t), 1, 0) AS own_end FROM {words}
 """
 
@@ -147,7 +151,7 @@ LEFT JOIN {singles} s ON l.z = s.z
 """
 
 VERDICT = """
-SELECT j.table_name, j.record_id,
+SELECT j.key,
   open_end OR n > 1 AND coalesce(CASE
     WHEN g.longer >= {least_seen} AND j.e RLIKE :letter_first AND g.own <= greatest(1, {share_fragment} * g.longer) AND (g.own <= 1 OR j.z = 'Aa' OR s_ended <= {share} * s_seen) THEN true
     WHEN f.longer >= 2 AND f.longer > 3 * p_seen THEN true
@@ -161,6 +165,9 @@ LEFT JOIN {fragments} f ON j.b = f.b AND j.z = f.z
 LEFT JOIN {beginnings} g ON j.e = g.word
 """
 
+#: The verdict on a body, for each of its values.
+SPREAD = "SELECT v.table_name, v.record_id, p.cut FROM (SELECT table_name, record_id, md5(body) AS key FROM {values} WHERE NOT listed AND body RLIKE :some) v JOIN {prose} p ON v.key = p.key"
+
 SHARES = """
 WITH named AS (
   SELECT 'nasdaq_semi_data_cleaned' AS table_name, article_id AS record_id, feed AS source FROM {articles} WHERE summary RLIKE :some
@@ -188,10 +195,11 @@ def judged_values(
     when they occur ``least_trigram`` times elsewhere, the last two when they occur ``least_pair`` times, the last
     one from ``least_single`` on; a value is cut when at most ``share`` of those occurrences end a sentence or value. A value that ends with a full stop takes ``stopped_times`` as many
     occurrences and at most ``share_stopped`` of ends, and is not cut by its last word alone.
-    Null, empty and blank values are not cut. Repeated rows come out each, and count each.
+    Null, empty and blank values are not cut. Repeated rows come out each; values of the same
+    body count once and have one verdict.
     """
     values = _sql(VALUES, articles=articles, triplets=triplets)
-    words = checkpointed(_sql(WORDS, values=values))  # read twice; also keeps the union out of the joins' plan
+    words = checkpointed(_sql(WORDS, bodies=_sql(BODIES, values=values)))  # read twice; also keeps the union out of the joins' plan
     runs = checkpointed(_sql(RUNS, words=words))  # read four times
     grams = _sql(GRAMS, runs=runs)
     pairs = _sql(PAIRS, grams=grams)
@@ -200,7 +208,7 @@ def judged_values(
     beginnings = _sql(BEGINNINGS, words=words, least_seen=least_seen)
     bounds = dict(least_trigram=least_trigram, least_pair=least_pair, least_single=least_single, least_seen=least_seen, share_fragment=share_fragment, share=share, share_stopped=share_stopped, stopped_times=stopped_times)
     prose = _sql(VERDICT, judged=judged, fragments=_sql(FRAGMENTS, rare=rare, pairs=pairs), beginnings=beginnings, **bounds)
-    return prose.unionByName(_sql(LISTS, values=values))
+    return _sql(SPREAD, values=values, prose=prose).unionByName(_sql(LISTS, values=values))
 
 
 def cut_values(articles: DataFrame, triplets: DataFrame, **parameters) -> DataFrame:

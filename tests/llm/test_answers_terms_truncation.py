@@ -79,3 +79,14 @@ def test_truncation(spark):
     shares = {(r.table_name, r.source): (r.n_values, r.n_cut) for r in tr.cut_shares(a, j).collect()}
     assert shares == {("nasdaq_semi_data_cleaned", "f"): (len(full) + len(ends) + 5, len(ends)), ("judged_triplets", "m"): (10, 4)}
     assert tr.cut_values(a.limit(0), j.limit(0)).count() == 0
+
+
+def test_copies_do_not_vouch_for_each_other(spark):
+    names = ["Acme", "Bolt", "Corvin", "Dray", "Elm", "Fenn"]
+    full = [f"The board at {a} kept the outlook firmer as rivals cut prices. {b} agreed to buy {c} for ${k}.5 million, the two firms said in Dunmarrow." for k, (a, b, c) in enumerate((x, y, z) for x in names for y in names for z in names)]
+    cut = {100: "The board at Elm kept the outlook firmer as rivals", 200: "Bolt agreed to buy Corvin for $3.5 million, the two firms", 300: "The board at Acme kept the outlook firmer as rivals cut prices. Bolt agreed to bu"}
+    rows = [(1000 + k, "f", t) for k, t in enumerate(full)] + [(k + i, "f", t) for k, t in cut.items() for i in range(60)] + [(400 + i, "f", full[3]) for i in range(60)]
+    a = spark.createDataFrame(rows, "article_id long, feed string, summary string")
+    j = spark.createDataFrame([], "triplet_id long, model_name string, output_triplets string")
+    got = sorted(r.record_id for r in tr.cut_values(a, j).collect())
+    assert got == [k + i for k in cut for i in range(60)]
