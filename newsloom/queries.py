@@ -73,6 +73,12 @@ def article_typed_date(spark, d):
     return articles.typed_date(a).filter("date IS NOT NULL").select("article_id", F.unix_micros("date").alias("micros"))
 
 
+@query()
+def article_typed_date_whole(spark, d):
+    """Every article with its date as read, or null; the SQL of ``article_typed_date`` knows one notation."""
+    return articles.typed_date(table(spark, d, "nasdaq_semi_data_cleaned")).select("article_id", F.unix_micros("date").alias("micros"))
+
+
 @query(_A + "SELECT article_id, epoch_us(date) AS micros FROM a WHERE date >= TIMESTAMP '2021-01-03' AND date <= TIMESTAMP '2023-01-18'")
 def article_date_range(spark, d):
     return articles.date_range(_articles(spark, d), "2021-01-03", "2023-01-18").select("article_id", F.unix_micros("date").alias("micros"))

@@ -112,3 +112,13 @@ def test_monthly_pages_and_ontology_file(spark, tmp_path):
     assert set(sinks.monthly_pages(n, e)) == {"2024-01", "2024-02"}
     (tmp_path / "o.rdf").write_text('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#"><owl:ObjectProperty rdf:about="http://x/o#has"><rdfs:domain rdf:resource="#A"/><rdfs:domain rdf:resource="#B"/></owl:ObjectProperty></rdf:RDF>')
     assert ontology.load(str(tmp_path / "o.rdf")) == [("has", ["A", "B"], [])]
+
+
+def test_every_article_gets_a_date_or_null(spark, tmp_path):
+    from newsloom import queries
+
+    dates = ["2024-01-02 03:04:05", "2024-01-02", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05+02:00", "soon", "", None]
+    spark.createDataFrame([(k, x) for k, x in enumerate(dates)], "article_id int, date string").write.parquet(f"{tmp_path}/nasdaq_semi_data_cleaned.parquet")
+    got = {r.article_id: r.micros for r in queries.QUERIES["article_typed_date_whole"](spark, str(tmp_path)).collect()}
+    noon = 1704164645000000
+    assert got == {0: noon, 1: 1704153600000000, 2: noon, 3: noon - 7200 * 10**6, 4: None, 5: None, 6: None}
