@@ -33,38 +33,63 @@ SCRIPT_PATTERNS = [(lang, re.compile(f"[{span}]")) for lang, span in SCRIPTS]
 ANY_SCRIPT = re.compile("[" + "".join(span for _, span in SCRIPTS) + "]")
 LETTERS = re.compile(r"[^\W\d_]")
 
-# The refusal grammar, by language; each alternative stands alone.
-REFUSALS = re.compile(
+# The words of the refusal grammar, by category; within a category by language.
+REFUSAL_WORDS = {
+    # who answers
+    "S": r"\bi\b|\bwe\b|\bm[ey]\b|\bour\b|\bus\b|\b(?:this|the|an)\s+(?:tool|assistant|model|system|service)\b|\bich\b|\bwir\b|\bmi[rch]+\b|\bmeine?\w?\b|\bunser\w*|\bje\b|\bj['’]|\bnous\b|\bm['’]|\bmoi\b|\bmes\b|\bnotre\b|\byo\b|\bpuedo\b|\bpodemos\b|\bdebo\b|\bquiero\b|\bdeseo\b|\bprefiero\b|\bestoy\b|\bvoy\b|\bposso\b|\bik\b|\bя\b|مكنني|مكننا|أستطيع|نستطيع|मैं|हम\b|私|我|저는|ฉัน|ผม",
+    # negation
+    "N": r"\b(?:can)?not\b|n['’]t\b|\bnever\b|\bno\b|\bnone\b|\bnicht\b|\bnichts\b|\bkeine?\w?\b|\bne\b|\bn['’](?=\w)|\bnon\b|\bnão\b|\bniet\b|\bне\b|\bلا\b|\bلن\b|غير|नहीं|ない|ません|不|没|無|ไม่|않|없|못",
+    # verbs and words that decline by themselves
+    "R": r"\b(?:declin|refus)\w*|\bunable\b|\b(?:to|must|i['’]?ll|will)\s+(?:pass|skip|abstain)\b|\bablehn\w*|\blehne\b|\bverweiger\w*|\brechaz\w*|\bme\s+niego\b|\bimposible\b|\bimpossib\w*|\baußerstande\b|\bincapa[zc]\w*|أرفض|نرفض|असमर्थ|できかね|いたしかね|断り|控え|遠慮|无法|無法|拒绝|拒絕|ปฏิเสธ|거절|불가",
+    # what is asked for
+    "A": r"\b(?:extract|provid|process|analy[sz]|label|help|answer|produc|turn|comment|handl|perform|complet|fulfil|assist|respond|creat|generat|generat|output|list|tag|return|support|summari[sz]|shar|giv|carry|comply|disclos|nam|treat)(?:e|es|s|ed|ing|n|ling)?\b|\btake\b|\bdo(?:ne)?\s+(?:this|that|so|it)\b|\b(?:be|get)\s+done\b|\bextrahier\w*|\bausführ\w*|\bmachen\b|\bbearbeit\w*|\bbeantwort\w*|\bantwort\w*|\bhelfen\b|\bverarbeit\w*|\banalysier\w*|\bgeben\b|\bliefer\w*|\berstell\w*|\bnennen\b|\bextrai\w*|\btraite\w*|\brépond\w*|\bfourni\w*|\bdonner\b|\baider\b|\beffectuer\b|\brespond\w*|\bextrae\w*|\bprocesar\b|\bcontest\w*|\bayud\w*|\bproporcion\w*|\brealizar\b|\bdar\b|\banali[sz]\w*|\bprocessar\b|\baiut\w*|\belabor\w*|\bhelpen\b|\bverwerken\b|обраб\w*|ответ\w*|извле\w*|معالج\w*|استخراج|المساعدة|الإجابة|कर\s*सक\w*|निकाल\w*|でき|対応|答え|提供|处理|處理|回答|完成|提取|协助|協助|สามารถ|ตอบ|ช่วย|할\s*수|답변|처리|추출",
+    # what may or may not be
+    "P": r"\b(?:allow|permit)\w*|\bappropriate\b|\bpossible\b|\bproper\b|\bauthori[sz]ed\b|\bavailable\b|\bable\b|\bmöglich\b|\berlaubt\b|\bgestattet\b|\bvorgesehen\b|\bzulässig\b|\bautoris\w*|\bpermis\w*|\bpermiti\w*|\bposible\b|\bautoriza\w*|\bpossibile\b|\bpossível\b|允许|可能|許可",
+    # the task
+    "T": r"\b(?:request|question|task|article|passage|input|prompt|query|document|material|extraction|naming|labelling|labeling|tagging)s?\b|\baufgabe\b|\banfrage\b|\bartikel\w*|\bextraktion\b|\btexte?\b|\bdemande\b|\btâche\b|\bartículo\b|\bpetición\b|\bsolicitud\b|\btarea\b|文章|请求|請求|記事|依頼|مقال\w*|طلب\w*|लेख|अनुरोध|บทความ|คำขอ|기사|요청",
+    # what would have been extracted
+    "E": r"\b(?:relation(?:ship)?|triplet|triple|fact|entit(?:y|ie)|edge|tuple)s?\b|\bbeziehung\w*|\btripel\b|\bentité\w*|\brelacion\w*|\btripleta\w*|\bentidad\w*|关系|三元组|関係",
+    # limits of what is done
+    "B": r"\boutside\b|\bbeyond\b|\bagainst\b|\baußerhalb\b|\ben\s+dehors\b|\bfuera\s+de\b|超出|範囲外",
+    "D": r"\bscope\b|\bpolic(?:y|ies)\b|\brules\b|\bguidelines\b|\bcover\w*|\bremit\b|\brichtlinien?\b|\bpolitique\b|\bnormas\b|\bpolítica\b|范围|政策|範囲外",
+    # switched off, or left to somebody else
+    "O": r"\b(?:switch|turn)ed\s+off\b|\b(?:disabl|block|restrict|suspend|prohibit|forbid)\w*|\bdeaktiviert\b|\bgesperrt\b|\bdésactiv\w*|\bdesactivad\w*",
+    "H": r"\b(?:person|human|people|colleague|expert|staff)s?\b|\bmensch\w*|\bpersonne\b|\bpersona\b",
+    # regret
+    "G": r"\bsorry\b|\bapolog\w*|\bregret\w*|\bunfortunately\b|\bleider\b|\bbedau\w+|\btut\s+mir\s+leid\b|\bentschuldig\w*|\bdésolée?\b|\bmalheureusement\b|\bnavrée?\b|\blo\s+siento\b|\blament\w*|\bdisculp\w*|\bperdón\b|\bdesculp\w*|\bmi\s+dispiace\b|\bspijt\b|извин\w*|抱歉|对不起|對不起|遗憾|遺憾|申し訳|恐れ入|क्षमा|माफ़|माफ|खेद|عذر|آسف|ขออภัย|ขอโทษ|죄송",
+    # finding
+    "F": r"\b(?:f[io]u?nd|identif\w+|detect\w*|present|contain\w*|exist\w*|mention\w*)\b|\bgefunden\b|\benthalten\b|\btrouvé\w*|\bencontr\w*|\bhallad\w*|找到|发现|見つか",
+}
+CATEGORY = re.compile("|".join(f"(?P<{c}>{words})" for c, words in REFUSAL_WORDS.items()), re.IGNORECASE)
+#: The grammar proper: a clause, read as its categories in order, declines by one of these forms.
+REFUSES = re.compile(
     "|".join(
         [
-            r"\b(?:i|we)\s+(?:can\s*not|can['’]?t|cannot|could\s+not|couldn['’]t|must\s+not|will\s+not|won['’]t|would\s+not|do\s+not|don['’]t|am\s+not|['’]m\s+not|are\s+not|have\s+to\s+(?:pass|decline|refuse|skip)|must\s+(?:decline|refuse|pass|skip)|would\s+rather\s+not|prefer\s+not|am\s+unable|are\s+unable|decline|refuse|['’]?d\s+rather\s+not)\b",
-            r"\b(?:can\s*not|cannot|could\s+not|won['’]t|will\s+not)\s+be\s+(?:\w+\s+)?(?:processed|provided|extracted|done|answered|analy[sz]ed|completed|handled|fulfilled|given|produced|shared)\b",
-            r"\b(?:unable|not\s+able|not\s+allowed|not\s+permitted|not\s+authori[sz]ed|not\s+in\s+a\s+position)\s+to\b|\bdo(?:es)?\s+not\s+(?:allow|permit|let)\b|\bnot\s+something\s+i\b",
-            r"\boutside\s+(?:my|our|the|what|of)\b|\bbeyond\s+(?:my|our|the\s+scope|what)\b|\bagainst\s+(?:my|our|the)\s+(?:policy|policies|rules|guidelines)\b|\bto\s+stay\s+within\s+policy\b|\bhas\s+to\s+be\s+handled\s+by\b|\bmust\s+be\s+handled\s+by\b",
-            r"\bno\s+(?:extraction|answer|analysis|output|triplets?|relations?|data|response)\s+(?:will|can|could|may)\s+be\b|\bnot\s+be\s+(?:appropriate|possible|right|proper)\b|\b(?:switched|turned)\s+off\b|\bhas\s+been\s+(?:disabled|blocked|restricted)\b|\bnot\s+(?:available|supported|enabled|offered)\b",
-            r"\b(?:sorry|apologies|apologi[sz]e|regret|unfortunately)\b.{0,80}\b(?:not|cannot|can['’]?t|won['’]t|unable|decline|pass|outside|refuse)\b",
-            r"\b(?:leider|bedau\w+|tut\s+mir\s+leid|entschuldig\w+)\b|\b(?:kann|darf|möchte|werde|können|dürfen|will)\b.{0,60}\b(?:nicht|keine?n?)\b|\bVerständnis\b.{0,60}\b(?:nicht|nichts|keine?n?)\b|\bnichts\s+extrahier|\b(?:ablehnen|verweiger\w+|lehne\b.{0,60}\bab)\b|\bnicht\s+(?:möglich|erlaubt|gestattet|vorgesehen|zulässig)\b|außerhalb\s+(?:meiner|unserer|des)\b",
-            r"\b(?:désolée?|regrette|regrets|malheureusement|pardon|navrée?)\b|\bne\s+(?:peux|peut|pouvons|puis|suis|sommes|souhaite|veux|préfère|fournirai|traiterai)\b.{0,20}\bpas\b|\bje\s+préfère\s+ne\s+pas\b|\bje\s+(?:refuse|décline)\b|\bimpossible\s+d|\bpas\s+(?:autorisé|en\s+mesure|possible|permis)\w*\b|\bn['’](?:est|ai|y)\b.{0,20}\bpas\b.{0,30}\b(?:possible|autorisé|permis|droit)\w*",
-            r"\b(?:lo\s+siento|lamento|lamentablemente|disculp\w+|perdón|desafortunadamente)\b|\bno\s+(?:puedo|podemos|debo|me\s+es\s+posible|es\s+posible|estoy\s+autorizad\w|tengo\s+permi\w+|voy\s+a|está\s+permitido|quiero|deseo|se\s+puede|me\s+permiten)\b|\bprefiero\s+no\b|\bme\s+niego\b|\bdebo\s+(?:rechazar|declinar)\b",
-            r"抱歉|对不起|對不起|很遗憾|遗憾|无法|不能(?:提供|处理|回答|完成|提取|协助)|拒绝|不便|不方便|申し訳|恐れ入り|できません|できかね|いたしかね|お断り|控え|ご遠慮|対応して(?:い|お)|お答えでき",
-            r"क्षमा|माफ़|माफ|खेद|असमर्थ|नहीं\s+कर\s+सकत|عذر|آسف|لا\s+يمكنن|لا\s+أستطيع|لا\s+نستطيع|غير\s+قادر|ขออภัย|ขอโทษ|ไม่สามารถ|죄송|할\s*수\s*없|извин|не\s+могу|lo\s+sento|mi\s+dispiace|non\s+posso|desculp\w+|não\s+posso|het\s+spijt|kan\s+(?:ik\s+)?niet",
+            "S.*N.*[AP]", "N.*S.*A",  # somebody does not do it, or may not
+            "S.*R", "R.*[AS]", "N.*P.*A",  # declines; is unable to do it; not permitted to do it
+            "T.*N.*[AP]", "N.*T.*[AP]", "T.*R",  # the task is not done, or may not be
+            "A.*N.*P", "B.*S", "[TES].*B.*D", "[TE].*O", "T.*A.*H", "G.*[RBO]", "G.*N.*[AP]",  # out of bounds, switched off, left to a person, regretted
         ]
-    ),
-    re.IGNORECASE,
+    )
 )
+#: There was nothing to be found, which is no refusal.
+FOUND_NOTHING = re.compile("N[^AP]*F")
+CLAUSE = re.compile("[^.!?;\\n。！？।؟]+")
 WORD = re.compile(r"[^\W_]+")
 FENCE = re.compile(r"```[a-zA-Z]*")
 #: Shortest tile in words, and the covered share from which an answer is a copy.
 TILE, COPIED = 4, 0.5
+#: Covered share from which prose that declines nothing is a copy too.
+PARTLY_COPIED = 0.25
 #: At most so many different labels are taken to fit the label classifier: those in most answers.
 SAMPLE_LABELS = 5000
 
 
 class Parsed:
     """What the pushdown parser found: ``tuples`` (lists of strings), ``open`` (brackets or a quotation are
-    unclosed, or a list goes on after a comma), ``lead`` (text before), ``listed`` (any bracket at all)."""
+    unclosed, or a list goes on after a comma), ``around`` (the text before and behind), ``listed`` (any list at all)."""
 
-    __slots__ = ("lead", "listed", "open", "strings", "tuples")
+    __slots__ = ("around", "listed", "open", "strings", "tuples")
 
     def __init__(self, text: str):
         self.tuples: list[list[str]] = []
@@ -72,17 +97,18 @@ class Parsed:
         self.open = self.listed = False
         body = FENCE.sub(" ", text)
         start = re.search(r"""\[\s*(?:[\[(\]'"{]|$)|\(\s*['"\])]|\(\s*$""", body)
-        self.lead = (body[: start.start()] if start else body).strip()
+        self.around = body if start is None else body[: start.start()] + "\n" + (body[body.rfind("]") + 1 :] if "]" in body else "")
         if start is None:
             return
         self.listed = True
         stack: list[str] = []
         row: list[str] = []
-        k, n, comma = start.start(), len(body), False
+        k, n, comma, before = start.start(), len(body), False, ""
         while k < n:
             ch = body[k]
-            if ch in "\"'" and (stack or comma or body[:k].rstrip()[-1:] in "([,"):
+            if ch in "\"'" and (stack or comma or before in "([,"):
                 end = self._close(body, k, ch)
+                before = ch
                 if end < 0:
                     self.open = True
                     row.append(body[k + 1 :])
@@ -108,6 +134,8 @@ class Parsed:
                 comma = True
             elif not ch.isspace() and ch not in ".…":
                 comma = False
+            if not ch.isspace():
+                before = ch
             k += 1
         self.open = self.open or bool(stack) or comma
 
@@ -151,36 +179,65 @@ def language(text: str | None) -> str | None:
     return max(votes, key=votes.__getitem__) if first > second else None
 
 
-def tiled(answer: list[str], source: list[str], tile: int = TILE) -> int:
-    """Words of ``answer`` covered by greedy string tiling with words of ``source``: longest tiles first, no
-    word of either side in two tiles."""
+def refuses(text: str) -> bool:
+    """Whether a clause of ``text``, of whatever length, has one of the forms of ``REFUSES``."""
+    for clause in CLAUSE.findall(text):
+        form = "".join(m.lastgroup for m in CATEGORY.finditer(clause))
+        if len(form) > 1 and REFUSES.search(form) and not FOUND_NOTHING.search(form):
+            return True
+    return False
+
+
+def _matches(answer: list[str], source: list[str], tile: int, used_a: list[bool], used_s: list[bool]) -> list[tuple[int, int, int]]:
+    """(length, place in answer, place in source) of runs of at least ``tile`` words that both sides still have free."""
     places: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for k in range(len(source) - tile + 1):
-        places[tuple(source[k : k + tile])].append(k)
-    used_a, used_s, covered = [False] * len(answer), [False] * len(source), 0
-    tiles = []
-    k = 0
-    while k <= len(answer) - tile:
-        longest = 0
-        for s in places.get(tuple(answer[k : k + tile]), ()):
-            if longest and not (k + longest < len(answer) and s + longest < len(source) and answer[k + longest] == source[s + longest]):
-                continue  # it cannot be longer than the longest so far
-            n = tile
-            while k + n < len(answer) and s + n < len(source) and answer[k + n] == source[s + n]:
-                n += 1
-            if n > longest:
-                longest, at = n, s
+    free = 0
+    for k, taken in enumerate(used_s):
+        free = 0 if taken else free + 1
+        if free >= tile:
+            places[tuple(source[k - tile + 1 : k + 1])].append(k - tile + 1)
+    found, k, n, m = [], 0, len(answer), len(source)
+    while k <= n - tile:
+        longest, at = 0, 0
+        if not any(used_a[k : k + tile]):
+            for s in places.get(tuple(answer[k : k + tile]), ()):
+                if longest and (k + longest >= n or s + longest >= m or answer[k + longest] != source[s + longest]):
+                    continue  # it cannot be longer than the longest so far
+                size = tile
+                while k + size < n and s + size < m and answer[k + size] == source[s + size] and not used_a[k + size] and not used_s[s + size]:
+                    size += 1
+                if size > longest:
+                    longest, at = size, s
         if longest:
-            tiles.append((longest, k, at))
+            found.append((longest, k, at))
             k += max(1, longest - tile + 1)
         else:
             k += 1
-    for n, a, s in sorted(tiles, key=lambda t: (-t[0], t[1])):
-        for j in range(n):
-            if not used_a[a + j] and not used_s[s + j]:
-                used_a[a + j] = used_s[s + j] = True
-                covered += 1
-    return covered
+    return found
+
+
+def tiles(answer: list[str], source: list[str], tile: int = TILE) -> list[bool]:
+    """For each word of ``answer`` whether it lies in a tile: greedy string tiling with the words of ``source``.
+
+    In each round the longest runs that are free on both sides are taken, the longest first; those that have lost
+    words to a longer one wait for the next round. It ends when no free run of ``tile`` words is left.
+    """
+    used_a, used_s = [False] * len(answer), [False] * len(source)
+    while found := _matches(answer, source, tile, used_a, used_s):
+        lost = False
+        for n, a, s in sorted(found, key=lambda t: (-t[0], t[1])):
+            if used_a[a] or used_a[a + n - 1] or used_s[s] or used_s[s + n - 1] or any(used_a[a : a + n]) or any(used_s[s : s + n]):
+                lost = True
+                continue
+            used_a[a : a + n] = used_s[s : s + n] = [True] * n
+        if not lost:
+            break
+    return used_a
+
+
+def tiled(answer: list[str], source: list[str], tile: int = TILE) -> int:
+    """Words of ``answer`` in tiles."""
+    return sum(tiles(answer, source, tile))
 
 
 class LabelLanguages:
@@ -253,28 +310,24 @@ def defect(answer: str | None, source: str | None, langs: LabelLanguages | None
     if p.listed and p.open:
         return "truncated"
     if p.listed and not filled and not loose:
-        body = FENCE.sub(" ", answer)
-        if not LETTERS.search(body[body.rfind("]") + 1 :] if "]" in body else "") or not REFUSALS.search(body):
-            return "refusal" if REFUSALS.search(p.lead) and len(p.lead) > 40 and not p.lead.endswith(":") else "empty"
+        return "refusal" if refuses(p.around) else "empty"
     six = sum(len(t) >= 2 for t in filled)
     if not six:
         said = WORD.findall(answer.lower())
         have = WORD.findall((source or "").lower())
         if not said:
             return "empty"
-        covered = tiled(said, have)
+        covered = tiled(said, have, min(TILE, max(2, len(said))))
         if covered >= COPIED * len(said):
             return "copy"
-        if REFUSALS.search(answer) and len(said) <= 80:
+        if refuses(answer):
             return "refusal"
-        if covered >= 0.25 * len(said) and covered >= 8:
+        if covered >= PARTLY_COPIED * len(said) and covered >= 2 * TILE:
             return "copy"
-        if answer.rstrip().endswith(":") and len(said) < 20:
-            return "empty"  # a lead-in and nothing after it
         mine, theirs = language(answer), language(source) or (langs.main if langs else None)
-        if mine and theirs and mine != theirs:
+        if mine and theirs and mine != theirs and not answer.rstrip().endswith(":"):
             return "other_language"
-        return "refusal" if have else "copy"
+        return "empty"  # a lead-in, a word that nothing was found, or other prose: nothing is extracted
     long = [x for t in filled for x in t if len(x) > 20 and len(x.split()) >= 7]
     if long and len(long) >= 0.5 * len(filled):
         said, have = WORD.findall(" ".join(long).lower()), WORD.findall((source or "").lower())
@@ -307,9 +360,10 @@ def answer_defects(pairs: DataFrame, id_col: str = "triplet_id", answer_col: str
     """``id_col`` and ``defect`` of every row with a defective answer.
 
     Null and blank answers are 'empty'. Where the input is null, blank or of no known language, tuples can
-    not be in another one, and prose is held against the commonest language and else taken for a 'copy'.
-    Prose in the input's language but not in its wording declines, in whatever words: 'refusal'. Repeated rows come out each. No shuffle beside
-    the counts of labels, of which at most ``most`` go to the driver.
+    not be in another one, and prose is held against the commonest language. A refusal needs a clause that the
+    grammar accepts; prose without a tuple that is no refusal, no copy and in the input's language has extracted
+    nothing and is 'empty'. Repeated rows come out each. No shuffle beside the counts of labels, of which at most
+    ``most`` go to the driver.
     """
     langs = LabelLanguages(label_sample(pairs, answer_col, source_col, most))
 
