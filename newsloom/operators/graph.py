@@ -122,6 +122,12 @@ def positives(edges: DataFrame) -> DataFrame:
     return edges.groupBy("period", "sub", "obj").agg(F.min("edge_id").alias("pos"))
 
 
+def numbered_nodes(pairs: DataFrame) -> DataFrame:
+    """period, node, id: the nodes of a period numbered in the order of a slice of their md5, slice by slice."""
+    nodes = pairs.select("period", F.explode(F.array("sub", "obj")).alias("node")).distinct()
+    return _numbers(nodes.withColumn("_slice", F.substring(F.md5("node"), 1, 3)), ["period"], "_slice", "node")
+
+
 def negatives(edges: DataFrame, k: int = 50, tries: int = 3, pad: bool = True) -> DataFrame:
     """period, pos, src, dst, neg, n: for each collapsed edge ``k`` nodes of its period that are no neighbour of
     its source in either direction.
@@ -131,8 +137,7 @@ def negatives(edges: DataFrame, k: int = 50, tries: int = 3, pad: bool = True) -
     off). A positive with no valid draw has no negatives; its id stays on all others.
     """
     pairs = positives(edges)
-    nodes = pairs.select("period", F.explode(F.array("sub", "obj")).alias("node")).distinct()
-    nodes = _numbers(nodes.withColumn("_slice", F.substring(F.md5("node"), 1, 3)), ["period"], "_slice", "node").withColumnRenamed("id", "no")
+    nodes = numbered_nodes(pairs).withColumnRenamed("id", "no")
     sizes = nodes.groupBy("period").agg(F.count("*").alias("n"))
     drawn = pairs.join(F.broadcast(sizes), "period").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(tries * k - 1))))
     drawn = drawn.withColumn("no", draw(F.col("pos"), F.col("j"), F.col("n"))).join(nodes, ["period", "no"])
