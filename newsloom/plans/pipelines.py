@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions import ontology, scores, triplets
-from newsloom.operators import articles, graph, linkpred, similarity
+from newsloom.operators import articles, drawn, graph, linkpred, similarity
 from newsloom.sources import clients
 
 TEMPLATE = "Extract (sub, sub_type, rel, rel_category, obj, obj_type) tuples from this text as a list.\n\n{input_text_}"
@@ -79,5 +79,5 @@ def agreement(metrics: DataFrame, threshold: float = 0.75, most_entropy: float =
 def link_prediction(edges: DataFrame, vectors: DataFrame, k: int = 50) -> DataFrame:
     """Rolling-window link prediction by given vectors: per period the metrics of all, seen and unseen positives."""
     pos = graph.positives(edges)
-    ranked = linkpred.ranks(linkpred.scored(pos, graph.negatives(edges, k), vectors))
+    ranked = linkpred.ranks(drawn.scored(edges, vectors, k))
     return linkpred.metrics(ranked.join(pos, ["period", "pos"]).join(graph.seen_edges(edges), ["period", "sub", "obj"]))

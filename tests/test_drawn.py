@@ -56,3 +56,20 @@ def test_whole_queries_make_no_row_for_a_draw():
     from newsloom import queries
 
     assert "drawn.scored(" in getsource(queries._scores) and "drawn.negatives(" in getsource(queries.negative_samples)
+
+
+def test_stage_makes_no_row_for_a_draw(spark, edges, vectors):
+    """No number of draws is exploded in the plan; the metrics are those of the joins."""
+    from pyspark.sql import functions as F
+
+    from newsloom.plans import pipelines
+
+    e = edges.withColumn("date", F.lit("2024-01-01"))
+    got = pipelines.link_prediction(e, vectors)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "sequence(0, 149" not in plan
+    pos = graph.positives(e)
+    ranked = linkpred.ranks(linkpred.scored(pos, graph.negatives(e), vectors))
+    want = linkpred.metrics(ranked.join(pos, ["period", "pos"]).join(graph.seen_edges(e), ["period", "sub", "obj"]))
+    near = lambda rows: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
+    assert near(got.collect()) == near(want.collect())
