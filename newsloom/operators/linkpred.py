@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from newsloom.operators.similarity import dot
 
 HITS = (1, 3, 10)
+#: Exponents within a step are added up without overflow.
+STEP = 256
 
 
 def scored(positives: DataFrame, negatives: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -70,10 +72,13 @@ def margin_loss(gamma: float = 1.0) -> Column:
 def info_nce(scores: DataFrame, width: int, temperature: float = 0.1, by: tuple[str, ...] = ("period",)) -> DataFrame:
     """Mean over positives of the cross-entropy of the positive among itself and its negatives, by a stable log-sum-exp."""
     scale = (width**0.5) * temperature
-    p = scores.groupBy(*by, "pos").agg(F.max("s_pos").alias("p"), F.collect_list("s_neg").alias("n"))  # at most k scores each
-    top = F.greatest(F.col("p"), F.array_max("n")) / scale
-    total = F.exp(F.col("p") / scale - top) + F.aggregate("n", F.lit(0.0), lambda s, x: s + F.exp(x / scale - top))
-    return p.withColumn("l", top + F.log(total) - F.col("p") / scale).groupBy(*by).agg(F.avg("l").alias("info_nce"))
+    x = F.col("s_neg") / scale
+    step = F.floor(x / STEP) * STEP  # sums are kept by steps of the exponent, mostly one or two a positive, so that no list of scores is shuffled
+    part = scores.withColumn("_step", step).groupBy(*by, "pos", "_step").agg(F.max("s_pos").alias("_p"), F.sum(F.exp(x - F.col("_step"))).alias("_z"))
+    p = part.groupBy(*by, "pos").agg((F.max("_p") / scale).alias("p"), F.collect_list(F.when(F.col("_z").isNotNull(), F.col("_step") + F.log("_z"))).alias("n"))
+    top = F.greatest(F.col("p"), F.array_max("n"))
+    total = F.exp(F.col("p") - top) + F.aggregate("n", F.lit(0.0), lambda s, y: s + F.exp(y - top))
+    return p.withColumn("l", top + F.log(total) - F.col("p")).groupBy(*by).agg(F.avg("l").alias("info_nce"))
 
 
 def cross_entropy(rows: DataFrame, logits: str, target: str, by: tuple[str, ...]) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -73,3 +74,24 @@ def test_stage_makes_no_row_for_a_draw(spark, edges, vectors):
     want = linkpred.metrics(ranked.join(pos, ["period", "pos"]).join(graph.seen_edges(e), ["period", "sub", "obj"]))
     near = lambda rows: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
     assert near(got.collect()) == near(want.collect())
+
+
+def test_info_nce_gathers_no_scores(spark):
+    """A positive's scores are summed where they are, by steps of the exponent; the loss is that of the whole list."""
+    rng = random.Random(8)
+    rows = [("p", k, rng.uniform(-900, 900) * 10 ** rng.randint(-3, 0), rng.uniform(-900, 900) * 10 ** rng.randint(-3, 0)) for k in range(20) for _ in range(9)]
+    rows = [(p, k, next(r[2] for r in rows if r[1] == k), n) for p, k, _, n in rows] + [("q", 1, 2.0, None), ("q", 2, 3.0, None), ("q", 2, 3.0, 3.0)]
+    s = spark.createDataFrame(rows, "period string, pos int, s_pos double, s_neg double")
+    got = linkpred.info_nce(s, 4)
+    assert "collect_list(s_neg" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+    def loss(p, negatives):
+        x = [y / 0.2 for y in (p, *negatives)]
+        return max(x) + math.log(sum(math.exp(y - max(x)) for y in x)) - x[0]
+
+    of = {}
+    for p, k, y, n in rows:
+        of.setdefault((p, k, y), []).extend([] if n is None else [n])
+    for r in got.collect():
+        each = [loss(y, n) for (p, _, y), n in of.items() if p == r.period]
+        assert abs(r.info_nce - sum(each) / len(each)) < 1e-6
