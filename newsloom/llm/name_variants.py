@@ -34,7 +34,7 @@ ABBREVIATIONS = {"semiconductor": {"semi", "semis", "semicon", "sc"}, "foundry":
 RESTYLE, DECORATE, REORDER, ABBREVIATE, NICKNAME, INITIAL, MIDDLE, DROP, ACRONYM, TYPO, FIRST_LETTER, REAL_WORD = 0.2, 0.7, 0.8, 1.0, 1.0, 1.5, 0.8, 2.0, 2.5, 2.2, 2.0, 6.0
 #: The costliest attachment, and the least posterior among the names that could have been meant.
 MOST_COST, LEAST_POSTERIOR = 10.0, 0.8
-#: Up to so many canonical names each task holds their index; more are met by a join on keys.
+#: Up to so many canonical names each task holds their index; more are met by a join on keys, with the same results.
 INDEXED_NAMES = 50_000
 
 
@@ -83,11 +83,12 @@ def _abbreviates(short: str, full: str) -> bool:
 class Channel:
     """The canonical names with what the channel needs to know of them."""
 
-    def __init__(self, names: list[tuple[int, str, bool, int]]):
-        """``names``: id, name, whether a person's, and how often it is spelled exactly so."""
+    def __init__(self, names: list[tuple[int, str, bool, int]], real: set[str] | None = None):
+        """``names``: id, name, whether a person's, and how often it is spelled exactly so. ``real``: words that are part
+        of any name, where these are not all names."""
         self.names = {i: (words(n), person, n) for i, n, person, _ in names}
         self.prior = {i: math.log(1 + seen) for i, _, _, seen in names}
-        self.real = {w for ws, _, _ in self.names.values() for w in ws}
+        self.real = {w for ws, _, _ in self.names.values() for w in ws} if real is None else real
         self.initials: dict[int, set[str]] = {}
         for i, (ws, person, _) in self.names.items():
             first = "".join(w[0] for w in ws)
@@ -228,7 +229,14 @@ class Channel:
         return self.choose(text, found)
 
     def choose(self, text: str, among: set[int]) -> tuple[int, float] | None:
-        scored = sorted((c - 0.3 * self.prior[i], c, i) for i in among if (c := self.cost(text, i)) <= MOST_COST)
+        return self.best(self.scored(text, among))
+
+    def scored(self, text: str, among: set[int]) -> list[tuple[float, float, int]]:
+        return [(c - 0.3 * self.prior[i], c, i) for i in among if (c := self.cost(text, i)) <= MOST_COST]
+
+    @staticmethod
+    def best(scored: list[tuple[float, float, int]]) -> tuple[int, float] | None:
+        scored = sorted(scored)
         if not scored:
             return None
         top = scored[0][0]
@@ -276,28 +284,34 @@ def variant_map(edges: DataFrame, entities: DataFrame) -> DataFrame:
 def _by_keys(open_: DataFrame, names: DataFrame) -> DataFrame:
     """The same attachment where the names are too many to hold: candidates meet on their keys.
 
-    A word of one name may be another's typing error here, since a task does not see all names.
+    Each spelling brings those of its words that are part of any name, so that costs are those of the index; the names
+    likely enough for one spelling are weighed in one place, as there.
     """
     name_keys = F.udf(lambda n, p: sorted(Channel.keys_of_name(words(n), p)), "array<string>")
     text_keys = F.udf(lambda t: sorted(Channel.keys_of_spelling(t)), "array<string>")
+    words_of = F.udf(lambda t: sorted(set(words(t))), "array<string>")
+    real = names.select(F.explode(words_of("entity_name")).alias("word")).distinct()
+    own = open_.select("spelling", F.explode(words_of("spelling")).alias("word")).join(real, "word").groupBy("spelling").agg(F.collect_list("word").alias("real"))
     left = open_.select("spelling", F.explode(text_keys("spelling")).alias("key"))
     right = names.select("entity_id", "entity_name", "person", "rows", F.explode(name_keys("entity_name", "person")).alias("key"))
-    pairs = left.join(right, "key").drop("key").distinct()
+    pairs = left.join(right, "key").drop("key").distinct().join(own, "spelling", "left")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                channel = Channel([(r["entity_id"], r["entity_name"], r["person"], r["rows"])])
-                c = channel.cost(r["spelling"], r["entity_id"])
-                if c <= MOST_COST:
-                    out.append((r["spelling"], r["entity_id"], c - 0.3 * channel.prior[r["entity_id"]]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.float64()))], ["spelling", "entity_id", "cost"])
-
-    scored = pairs.mapInArrow(score, "spelling string, entity_id long, cost double")
-    best = scored.groupBy("spelling").agg(F.min_by("entity_id", "cost").alias("entity_id"), F.min("cost").alias("cost"))
-    total = scored.join(best.select("spelling", F.col("cost").alias("top")), "spelling").groupBy("spelling").agg((1 / F.sum(F.exp(F.col("top") - F.col("cost")))).alias("posterior"))
-    return best.join(total, "spelling").filter(F.col("posterior") >= LEAST_POSTERIOR).select("spelling", "entity_id", "posterior")
+                channel = Channel([(r["entity_id"], r["entity_name"], r["person"], r["rows"])], set(r["real"] or ()))
+                out += [(r["spelling"], *x) for x in channel.scored(r["spelling"], {r["entity_id"]})]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64()))], ["spelling", "score", "cost", "entity_id"])
+
+    @F.arrow_udf("struct<entity_id: long, posterior: double>")
+    def best(lists: pa.Array) -> pa.Array:
+        hits = [Channel.best([(x["score"], x["cost"], x["entity_id"]) for x in each]) for each in lists.to_pylist()]
+        return pa.array([h and {"entity_id": h[0], "posterior": h[1]} for h in hits], pa.struct([("entity_id", pa.int64()), ("posterior", pa.float64())]))
+
+    scored = pairs.mapInArrow(score, "spelling string, score double, cost double, entity_id long")
+    met = scored.groupBy("spelling").agg(F.collect_list(F.struct("score", "cost", "entity_id")).alias("l"))  # only names of a cost up to MOST_COST
+    return met.select("spelling", best("l").alias("b")).filter("b IS NOT NULL").select("spelling", "b.entity_id", "b.posterior")
 
 
 def linked_variants(edges: DataFrame, entities: DataFrame) -> DataFrame:

@@ -33,6 +33,17 @@ def test_join_on_keys_agrees_with_the_index(spark, monkeypatch):
     assert held == met
 
 
+def test_join_on_keys_knows_the_words_of_all_names(spark, monkeypatch):
+    """Words of other names, equal costs and posteriors: to the last digit as by the index."""
+    names = [(1, "Carlton Devices", "COMPANY", None), (2, "Charlton Foods", "COMPANY", None), (3, "Marston Group", "COMPANY", None), (4, "Marston Group", "COMPANY", None), (5, "Harston Anna", "PERSON", None), (6, "Marsten Devices", "COMPANY", None), (7, "Anna Harsten", "PERSON", None)]
+    said = ["Charlton Devices", "Charlton", "Carlton Foods", "Chalrton Foods", "Marston", "Marstom Group", "Marsten Group", "Marsten", "Anna Harston", "A Harstten", "Carltan Devices", "MG", "Devices Charlton"]
+    e = spark.createDataFrame(names, "entity_id long, entity_name string, entity_type string, ticker string")
+    edges = spark.createDataFrame([(k, n, None) for k, n in enumerate([*said, "Marston Group", "Carlton Devices"])], "edge_id long, sub string, obj string")
+    held = sorted(tuple(r) for r in nv.variant_map(edges, e).collect())
+    monkeypatch.setattr(nv, "INDEXED_NAMES", 0)
+    assert held and sorted(tuple(r) for r in nv.variant_map(edges, e).collect()) == held
+
+
 def test_distance():
     def slow(a, b):
         d = {(-1, -1): 0}
