@@ -284,3 +284,84 @@ def test_sentences_of_any_language(spark, tmp_path):
     assert {k: len(v) for k, v in got.items()} == {0: 3, 1: 2, 2: 2, 3: 2, 4: 3, 5: 2, 6: 2}
     assert [x[0] for x in got[4]] == ["芯片上涨。", "他说：“芯片下跌。”", "为什么？"]
     assert all(abs(sum(w for _, w in v) - 1) < 1e-4 for v in got.values())
+
+
+def _training_graph(n=900, m=3000, seed=6):
+    rng = np.random.default_rng(seed)
+    src, dst = (rng.random((2, m)) ** 2 * n).astype(int)
+    e = [(k, pd.Timestamp("2024-01-01"), "2024-01", f"n{a}", "T", f"r{a % 9}", "c", f"n{b}", "T2", 1.0) for k, (a, b) in enumerate(zip(src, dst))]
+    f = pd.DataFrame(e, columns=frame(1, 1).columns)
+    ids = {s: i for i, s in enumerate(sorted({*f["sub"], *f["obj"]}), 1)}
+    return gat.graph_of(f, ids, {"T": 1, "T2": 2}, {f"r{i}": i + 1 for i in range(9)}, {"c": 1}, eigen=False), len(ids)
+
+
+def test_an_epoch_of_a_window_takes_less_than_a_second():
+    """On a window like those of sf0.1: 3,000 edges, 50 negatives, width 256. It took 2 seconds of one core and more."""
+    import time
+
+    g, n = _training_graph()
+    enc = gat.Encoder(36, n, 2, 9, 1)
+    rng, took = np.random.default_rng(1), []
+    for _ in range(3):
+        start = time.thread_time()
+        who, neg = gat.negatives_of(g, 50, rng)
+        enc.step(gat.loss_of(enc, enc.forward(g, rng, 0.6, 0.5), g, who, neg, "bpr", 50), 1e-3)
+        took.append(time.thread_time() - start)
+    assert min(took) < 1, took
+
+
+def test_negatives_are_those_of_the_loop(monkeypatch):
+    def loop(g, k, rng):
+        linked = {(u, v) for u, v in g["pos"]} | {(v, u) for u, v in g["pos"]}
+        who, what = [], []
+        for i, (u, _) in enumerate(g["pos"]):
+            ok = [b for b in rng.integers(0, g["n"], 3 * k) if b != u and (u, b) not in linked][:k]
+            ok += [ok[j] for j in rng.integers(0, len(ok), k - len(ok))] if ok else []
+            who += [i] * len(ok)
+            what += ok
+        return who, what
+
+    draw = np.random.default_rng(1)
+    for n in (2, 3, 5, 12, 40):
+        for m in (1, 3, 30, 300):
+            g = {"n": n, "pos": np.unique(draw.integers(0, n, (m, 2)), axis=0)}
+            for cells in (1 << 27, 0):
+                monkeypatch.setattr(gat, "LINKED", cells)
+                a, b = np.random.default_rng(5), np.random.default_rng(5)
+                for _ in range(2):
+                    assert [x.tolist() for x in gat.negatives_of(g, 7, b)] == [[int(y) for y in x] for x in loop(g, 7, a)]
+
+
+def test_products_of_all_pairs_come_in_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    v, a, b, w = rng.normal(size=(9, 5)), rng.integers(0, 9, 400), rng.integers(0, 9, 400), rng.normal(size=400)
+    got = []
+    for cells, each in ((1 << 22, 64), (20, 64), (1, 64), (1 << 22, 0)):
+        monkeypatch.setattr(gat, "CELLS", cells)
+        monkeypatch.setattr(gat, "CELLS_A_PAIR", each)
+        y = gat.dots(gat.Node(v), a, b)
+        got.append((y.v, y.pull[0][1](w)))
+    assert all(np.allclose(x, z) for xs in got for x, z in zip(xs, got[0]))
+
+
+def test_rows_that_rest_move_as_if_they_were_stepped():
+    """Adam with and without the rows that have had no gradient for long, over windows that leave and return."""
+    rng = np.random.default_rng(3)
+    whole, part = (gat.Encoder(3, 9, 1, 1, 1, hidden=4, heads=1) for _ in range(2))
+    for used, steps in (([1, 2, 3], 30), ([2, 3, 4], 300), ([5, 6], 40), ([1, 7], 300), ([1, 4, 8], 30)):
+        at = part.enter(np.array(used))
+        for _ in range(steps):
+            d = rng.normal(size=(len(used), 4))
+            for enc, no in ((whole, np.array(used)), (part, np.searchsorted(at, used))):
+                enc.step(gat.total(gat.mul(gat.rows(enc.p["id"], no), gat.Node(d))), 1e-3)
+        part.leave(np.array(used))
+        assert np.abs(whole.p["id"].v - part.p["id"].v).max() < 1e-12
+    behind = (part.t - part.whole[3])[:, None]
+    for x, y, decay in zip(whole.m["id"], part.m["id"], (0.9, 0.999)):
+        assert np.abs(x - y * decay**behind).max() < 1e-12
+
+
+def test_models_do_not_wait_for_each_other(spark):
+    df = spark.createDataFrame(frame(20, 2))
+    got = gat._apart(df, gat.grid()).withColumn("at", F.spark_partition_id()).groupBy("model").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count("*").alias("n")).collect()
+    assert len({r.a for r in got}) == 10 and all(r.a == r.b and r.n == 40 for r in got)
