@@ -365,3 +365,13 @@ def test_models_do_not_wait_for_each_other(spark):
     df = spark.createDataFrame(frame(20, 2))
     got = gat._apart(df, gat.grid()).withColumn("at", F.spark_partition_id()).groupBy("model").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count("*").alias("n")).collect()
     assert len({r.a for r in got}) == 10 and all(r.a == r.b and r.n == 40 for r in got)
+
+
+def test_scores_of_models_to_train_move_no_states(spark):
+    df, configs = spark.createDataFrame(frame(20, 3)), gat.grid(epochs=2)[:2]
+    models = gat.trained_or_loaded(df, configs, None, k=2, hidden=4)
+    kept = spark.createDataFrame(models.collect(), models.schema)
+    direct, loaded = (gat.scored_edges(df, m, configs, hidden=4) for m in (models, kept))
+    assert "CoGroup" not in direct._jdf.queryExecution().toString() and "CoGroup" in loaded._jdf.queryExecution().toString()
+    a, b = (sorted(map(tuple, x.collect())) for x in (direct, loaded))
+    assert [x[:5] for x in a] == [x[:5] for x in b] and np.allclose([x[5] for x in a], [x[5] for x in b], atol=1e-5)
