@@ -375,3 +375,47 @@ def test_scores_of_models_to_train_move_no_states(spark):
     assert "CoGroup" not in direct._jdf.queryExecution().toString() and "CoGroup" in loaded._jdf.queryExecution().toString()
     a, b = (sorted(map(tuple, x.collect())) for x in (direct, loaded))
     assert [x[:5] for x in a] == [x[:5] for x in b] and np.allclose([x[5] for x in a], [x[5] for x in b], atol=1e-5)
+
+
+@pytest.mark.parametrize("each", [64, 0])
+def test_gradients_that_move_nothing_are_zero(monkeypatch, each):
+    """InfoNCE on learned edges has gradients down to 1e-38; their products fall out of single precision's normal range."""
+    monkeypatch.setattr(gat, "CELLS_A_PAIR", each)
+    rng = np.random.default_rng(4)
+    v, a, b = rng.normal(size=(40, 8)).astype(np.float32), rng.integers(0, 20, 30), rng.integers(20, 40, 30)
+    w = np.where(np.arange(30) == 3, 1e-3, 1e-30).astype(np.float32)
+    got = gat.dots(gat.Node(v), a, b).pull[0][1](w)
+    assert set(np.flatnonzero(np.abs(got).sum(axis=1))) == {a[3], b[3]} and np.allclose(got[a[3]], 1e-3 * v[b[3]])
+
+
+@pytest.mark.parametrize("block", [48, 5])
+def test_attention_in_blocks_is_attention(monkeypatch, block):
+    """Forward and backward, with a hub of more edges than a block."""
+    monkeypatch.setattr(gat, "EDGES", block)
+    rng = np.random.default_rng(8)
+    n, heads, width = 30, 2, 3
+    src, dst = np.r_[rng.integers(0, n, 60), np.arange(n), np.arange(n)], np.r_[np.full(30, 7), rng.integers(0, n, 30), np.full(n, 3), np.arange(n)]
+    by = gat.Ends(dst, n)
+    src, dst = src[by.order], by.at
+    back = gat.Ends(src, n)
+    g = {"n": n, "src": src, "dst": dst, "by_dst": by, "by_src": back, "turn": back.order}
+    values = [rng.normal(size=s) for s in ((n, heads, width), (1, heads, width), (1, heads, width), (len(src), heads))]
+
+    def plain(z, to, frm, edge):
+        s = (z * frm).sum(axis=2)[src] + (z * to).sum(axis=2)[dst] + edge
+        s = np.exp(np.where(s > 0, s, 0.2 * s))
+        out, sums = np.zeros((n, heads, width)), np.zeros((n, heads))
+        np.add.at(sums, dst, s)
+        np.add.at(out, dst, z[src] * (s / sums[dst])[:, :, None])
+        return out
+
+    d = rng.normal(size=(n, heads, width))
+    got = gat.attended(*map(gat.Node, values), g)
+    assert np.allclose(got.v, plain(*values))
+    for i, (_, f) in enumerate(got.pull):
+        made, eps = f(d), 1e-6
+        for at in zip(*(rng.integers(0, s, 6) for s in values[i].shape)):
+            up, down = ([x.copy() for x in values] for _ in range(2))
+            up[i][at] += eps
+            down[i][at] -= eps
+            assert abs(((plain(*up) - plain(*down)) * d).sum() / (2 * eps) - made[at]) < 1e-6
