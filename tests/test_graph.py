@@ -422,8 +422,8 @@ def test_attention_in_blocks_is_attention(monkeypatch, block):
 
 
 def test_long_trainings_begin_first(spark):
-    """Ten models on fewer cores: those of InfoNCE have the first parts, which Spark begins first, those of BPR the last."""
+    """Ten models on fewer cores: those of FindKG, the longest, have the first parts, which Spark begins first, those of BPR the last."""
     df = spark.createDataFrame(frame(20, 2))
     at = gat._apart(df, gat.grid()).withColumn("at", F.spark_partition_id()).select("model", "at").distinct().collect()
     first = [r.model.split("_")[0] for r in sorted(at, key=lambda r: r["at"])]
-    assert first[:2] == ["infonce"] * 2 and first[-2:] == ["bpr"] * 2 and [r["at"] for r in sorted(at, key=lambda r: r["at"])] == [*range(10)]
+    assert first[:2] == ["findkg"] * 2 and first[-2:] == ["bpr"] * 2 and [r["at"] for r in sorted(at, key=lambda r: r["at"])] == [*range(10)]
